@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, media, mixing, secrets, urls
+from . import decontam, langid, media, mixing, secrets, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op8_secrets": secrets.op8_secrets,
     "op9_url_filter": urls.op9_url_filter,
+    "op10_language": langid.op10_language,
 }
 SQL = {"op9_url_filter": urls.SQL}

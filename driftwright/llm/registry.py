@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, media, mixing, secrets, urls
+from . import decontam, langid, media, mixing, pii, secrets, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op2_personal_data": pii.op2_personal_data,
     "op3_decontamination": decontam.op3_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op8_secrets": secrets.op8_secrets,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, license, media, mixing, pii, secrets, urls
+from . import decontam, langid, license, media, mixing, pii, secrets, suffix, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_personal_data": pii.op2_personal_data,
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op5_licenses": license.op5_licenses,
     "op6_mixing": mixing.op6_mixing,
     "op8_secrets": secrets.op8_secrets,

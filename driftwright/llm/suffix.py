@@ -29,9 +29,9 @@ from .common import filesystem, new_path, table, written
 
 LENGTH = 50
 GRAM = 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Samples (8 bytes each) that one owner merges, about, and bytes of contexts that one owner compares, about.
-OWNED_BYTES = 8 << 20
+OWNED_BYTES = 4 << 20
 #: A sample in more shards than this is dealt by the strings around it.
 HOT_SHARDS = 2048
 NULL_ID = np.iinfo(np.int64).max

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import NONSPACE, Words, mix, pieces, window_hash
-from .common import discard, table, written
+from .common import discard, release, table, written
 
 WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-DIMS, FINE = 8, 64
+DIMS = 8
+#: Rounds that pair the nodes of a cell with a leader before all pairs that are left.
+STARS = 2
 #: A shingle in this share of all documents, and in 64 at least, comes last in the order; so few shingles are that frequent that their list stays bounded.
 FREQUENT, FREQUENT_LEAST = 0.0005, 64
 #: The filter of candidate nodes that the second reading of the texts uses is a bit map of this size at most.
@@ -62,6 +64,21 @@ def packed(s: np.ndarray) -> int:
     return int(np.array([int.from_bytes(bytes(q.astype(np.uint8).tolist()), "little")], np.uint64).view(np.int64)[0])
 
 
+def fine_counts(s: np.ndarray) -> bytes:
+    """Finer count vector: a power of two of groups, eight shingles to a group and 64 groups at least. Vectors of different lengths fold onto the shorter."""
+    dims = 64 if len(s) <= 512 else 1 << (len(s) // 8 - 1).bit_length()
+    return np.minimum(counts(s, dims), 65535).astype(np.uint16).tobytes()
+
+
+def fine_bound(x: bytes, y: bytes) -> int:
+    """An upper bound of the overlap of two sets from their finer vectors."""
+    x, y = (np.frombuffer(v, np.uint16).astype(np.int64) for v in (x, y))
+    if (x == 65535).any() or (y == 65535).any():
+        return 1 << 62  # a count that did not fit
+    dims = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, dims).sum(axis=0), y.reshape(-1, dims).sum(axis=0)).sum())
+
+
 def _unit(n: np.ndarray) -> np.ndarray:
     return np.left_shift(1, np.maximum(0, np.ceil(np.log2(n + 1)).astype(np.int64) - 7))
 
@@ -163,7 +180,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, last: np.ndarray, percent:
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
                 vec.append(packed(s) if len(s) else None)
-                fine.append(counts(s, FINE).astype(np.int32).tobytes() if len(s) else None)
+                fine.append(fine_counts(s) if len(s) else None)
                 if len(late):
                     at = np.minimum(np.searchsorted(late, s), len(late) - 1)
                     s = s[np.argsort(late[at] == s, kind="stable")]
@@ -194,47 +211,56 @@ def _runs(batches, names: tuple):
 
 
 def cells(nodes: DataFrame) -> DataFrame:
-    """token, sig, n, vec and the cell's leader of all cells with two nodes or more."""
-    names = ("token", "sig", "n", "vec")
+    """token and sig of all cells with two nodes or more."""
 
     def run(batches):
-        for token, sig, n, vec in _runs(batches, names):
-            first = np.append(True, token[1:] != token[:-1])
-            start = np.flatnonzero(first)
-            size = np.diff(np.append(start, len(token)))
-            order = np.lexsort((mix((sig ^ token).view(np.uint64)), token))  # another leader in every cell
-            group = np.cumsum(first) - 1
-            lead = order[start][group]
-            many = size[group] > 1
+        for token, sig in _runs(batches, ("token", "sig")):
+            new = token[1:] != token[:-1]
+            many = ~(np.append(True, new) & np.append(new, True))
             if many.any():
-                yield pa.RecordBatch.from_pydict({"token": token[many], "sig": sig[many], "n": n[many], "vec": vec[many], "lead": sig[lead][many], "lead_n": n[lead][many]})
+                yield pa.RecordBatch.from_pydict({"token": token[many], "sig": sig[many]})
+
+    each = nodes.select(F.explode("tokens").alias("token"), "sig")
+    return each.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, sig long")
+
+
+def _star(n, vec, sig, label, token, start, percent, seed):
+    """Pairs of each cell's nodes with its leader, the first in a seeded order of nodes."""
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token))))
+    order = np.lexsort((mix(sig.view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)), group))
+    lead = order[start][group]
+    p = points(n, vec)
+    keep = (label != label[lead]) & (100 * np.minimum(n, n[lead]) >= percent * np.maximum(n, n[lead]))
+    keep &= np.minimum(p[:, 1:], p[lead, 1:]).sum(axis=1) >= overlap_needed(n, n[lead], percent)
+    return np.stack([sig[keep], sig[lead[keep]]], axis=1)
+
 
-    each = nodes.select(F.explode("tokens").alias("token"), "sig", "n", "vec")
-    return each.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, sig long, n long, vec long, lead long, lead_n long")
+def _trees(n, vec, sig, label, token, start, percent):
+    """Pairs of nodes of different components that pass their cell's R-tree."""
+    p, found = points(n, vec), [np.zeros((0, 2), np.int64)]
+    for x, y in zip(start.tolist(), [*start[1:].tolist(), len(token)], strict=True):
+        if (label[x:y] != label[x]).any():
+            found.append(sig[x:y][tree_join(p[x:y], label[x:y], percent)])
+    return np.concatenate(found)
 
 
-def _between(cell_rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of nodes of different components that share a cell and pass its R-tree."""
+def _meet(cell_rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int, star: int | None) -> DataFrame:
+    """Pairs a < b of nodes of different components that meet in a cell: with its leader of round `star`, or all that pass its R-tree."""
 
     def run(batches):
         for token, sig, n, vec, label in _runs(batches, ("token", "sig", "n", "vec", "label")):
-            p = points(n, vec)
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            found = []
-            for x, y in zip(start.tolist(), [*start[1:].tolist(), len(token)], strict=True):
-                lab = label[x:y]
-                if y - x == 2:
-                    if lab[0] != lab[1] and min(n[x], n[x + 1]) * 100 >= percent * max(n[x], n[x + 1]):
-                        found.append(sig[x:y][None, :])
-                elif (lab != lab[0]).any():
-                    found.append(sig[x:y][tree_join(p[x:y], lab, percent)])
-            if found:
-                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            pairs = _trees(n, vec, sig, label, token, start, percent) if star is None else _star(n, vec, sig, label, token, start, percent, star)
+            if len(pairs):
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
                 yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    known = cell_rows.select("token", "sig", "n", "vec").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
-    known = known.withColumn("label", F.coalesce("label", "sig")).select("token", "sig", "n", "vec", "label")
-    return known.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+    known = nodes.select("sig", "n", "vec")
+    if labels is not None:
+        known = known.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
+    known = known.withColumn("label", F.coalesce("label", "sig") if labels is not None else F.col("sig"))
+    each = cell_rows.join(known, "sig").select("token", "sig", "n", "vec", "label")
+    return each.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -243,11 +269,10 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(f"fine_{c}").to_pylist()), np.int32).reshape(-1, FINE) for c in "ab")
-                n, m = (batch.column(f"n_{c}").to_numpy() for c in "ab")
-                keep = np.minimum(x, y).sum(axis=1) >= overlap_needed(n, m, percent)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+            n, m = (batch.column(f"n_{c}").to_numpy() for c in "ab")
+            bound = np.array([fine_bound(x, y) for x, y in zip(batch.column("fine_a").to_pylist(), batch.column("fine_b").to_pylist(), strict=True)], np.int64)
+            keep = pa.array(bound >= overlap_needed(n, m, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
@@ -314,26 +339,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component unless all its ids are null. Repeated rows share a component. Other columns of docs
     are not carried along.
     """
+    spark = docs.sparkSession
     all_sets = written(sets(docs, id_col, text_col, frequent(docs, text_col), percent), "jaccard-all")
     members = written(all_sets.select("id", "n", "sig"), "jaccard-members")
-    nodes = all_sets.filter("n > 0").groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "vec", "fine", "tokens")))
-    nodes = written(nodes, "jaccard-nodes")
+    nodes = written(all_sets.filter("n > 0").groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "vec", "fine", "tokens"))), "jaccard-nodes")
     discard(all_sets)
+    release(spark)
     shared = written(cells(nodes), "jaccard-cells")
-    near = (F.lit(100) * F.least("n", "lead_n") >= F.lit(percent) * F.greatest("n", "lead_n")) & (F.col("sig") != F.col("lead"))
-    star = shared.filter(near).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
-    tried = written(_bounded(star, nodes, percent), "jaccard-star")
-    links = _verified(tried, docs, text_col, percent)
-    labels = components(links)
-    rest = _bounded(_between(shared, labels, percent), nodes, percent).join(tried, ["a", "b"], "left_anti")
-    rest = written(rest, "jaccard-rest")
-    more = _verified(rest, docs, text_col, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    points_ = written(nodes.drop("tokens"), "jaccard-points")
+    discard(nodes)
+    release(spark)
+    links, tried, labels = None, None, None
+    for star in [*range(STARS), None]:
+        pairs = _bounded(_meet(shared, points_, labels, percent, star), points_, percent)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        release(spark)
+        found = _verified(pairs, docs, text_col, percent)
+        release(spark)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+    discard(shared, points_)
     known = members.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = known.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
     out = known.join(least, "label", "left")
-    discard(shared, nodes, tried, rest)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -1,6 +1,205 @@
-"""Every query of the library by name, and its SQL."""
+"""Every query of the library by name, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from driftwright.functions import controllers as K
+from driftwright.functions import scalars as S
+from driftwright.operators import compare as C
+from driftwright.operators import delta as D
+from driftwright.operators import links as L
+from driftwright.operators import metrics as M
+from driftwright.operators import planning as P
+from driftwright.operators import report as R
+from driftwright.streaming import sessions as W
+
+from . import views as V
+
+_RM = """SELECT concat('docs/', lang, '/', source, '/', doc_id, '.txt') AS path, false AS is_dir, CAST(strlen(text) AS BIGINT) AS size, 1700000000000000000 + doc_id * 1000000000 AS mtime_raw, md5(text) AS hash FROM documents"""
+_LM = """SELECT concat('docs/', lang, '/', source, '/', doc_id, '.txt') AS path, false AS is_dir, CAST(strlen(text) AS BIGINT) + CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS size,
+  CASE WHEN doc_id % 10 IN (2, 3) THEN 1700000000000000000 + doc_id * 1000000000 + 10000000 WHEN doc_id % 10 = 4 THEN 1700000000000000000 + doc_id * 1000000000 + 2000000
+    WHEN doc_id % 10 = 5 THEN 1700000000000000000 + doc_id * 1000000000 + 2000001 WHEN doc_id % 10 = 6 THEN 133444736000000000 + doc_id * 10000000 ELSE 1700000000000000000 + doc_id * 1000000000 END AS mtime_raw,
+  CASE WHEN doc_id % 10 IN (1, 2, 7) THEN md5(concat(text, '#')) ELSE md5(text) END AS hash FROM documents WHERE doc_id % 10 <> 0
+  UNION ALL SELECT concat('extra/', doc_id, '.txt'), false, CAST(strlen(text) AS BIGINT), 1700000000000000000, md5(text) FROM documents WHERE doc_id % 25 = 0"""
+
+
+def _ns(c):
+    return f"CASE WHEN {c} > 500000000000000000 THEN {c} WHEN {c} >= 116444736000000000 AND {c} - 116444736000000000 <= 92233720368547758 THEN ({c} - 116444736000000000) * 100 END"
+
+
+_SAME_TIME = f"coalesce(abs(({_ns('l.mtime_raw')}) - ({_ns('r.mtime_raw')})) <= 2000000, abs(l.mtime_raw - r.mtime_raw) <= 2000000)"
+_BOTH = {"size": "'SAME'", "fast": f"CASE WHEN {_SAME_TIME} THEN 'SAME' ELSE 'HASH' END", "strict": "'HASH'"}
+
+
+def _cmp(mode):
+    return f"""WITH rm AS ({_RM}), lm AS ({_LM}), j AS (SELECT coalesce(r.path, l.path) AS path, l.size AS local_size, r.size AS remote_size, r.hash = l.hash AS eq,
+      CASE WHEN r.path IS NULL THEN 'EXTRA' WHEN l.path IS NULL THEN 'MISSING' WHEN l.size <> r.size THEN 'DIFF' ELSE {_BOTH[mode]} END AS o FROM rm r FULL JOIN lm l ON r.path = l.path),
+    cmp AS (SELECT CASE WHEN o = 'HASH' THEN CASE WHEN eq THEN 'SAME' ELSE 'DIFF' END ELSE o END AS category, path, local_size, remote_size, o = 'HASH' AS hash_compared FROM j) """
+
+
+def _compared(mode):
+    return lambda s, d: C.compare(V.remote_manifest(s, d), V.local_manifest(s, d), mode)
+
+
+_COUNT = """SELECT count(*) FILTER (category <> 'EXTRA') AS enumerated, count(*) FILTER (category = 'SAME') AS same, count(*) FILTER (category = 'DIFF') AS diff, count(*) FILTER (category = 'MISSING') AS missing,
+  count(*) FILTER (category = 'EXTRA') AS extra_local, count(*) FILTER (category <> 'EXTRA') AS total, CASE WHEN count(*) FILTER (category <> 'SAME') = 0 THEN 0 ELSE 1 END AS verdict FROM cmp"""
+_fast = _compared("fast")
+_DIRS = """SELECT DISTINCT array_to_string(list_slice(p, 1, i), '/') AS dir FROM (SELECT string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')))) AS i FROM {})"""
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def add(name, query, sql=None):
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = sql
+
+
+for _m in C.MODES:
+    add(f"compare_summary_{_m}", lambda s, d, m=_m: C.counters(_compared(m)(s, d)), _cmp(_m) + _COUNT)
+    add(f"compare_{_m}", _compared(_m), _cmp(_m) + "SELECT * FROM cmp")
+add("extra_files", lambda s, d: C.extras(V.remote_manifest(s, d), V.local_manifest(s, d)).select("path", "size"), f"WITH rm AS ({_RM}), lm AS ({_LM}) SELECT path, size FROM lm WHERE path NOT IN (SELECT path FROM rm)")
+add("missing_files", lambda s, d: C.extras(V.local_manifest(s, d), V.remote_manifest(s, d)).select("path", "size"), f"WITH rm AS ({_RM}), lm AS ({_LM}) SELECT path, size FROM rm WHERE path NOT IN (SELECT path FROM lm)")
+add("mtime_normalize", lambda s, d: V.local_manifest(s, d).select("path", S.unix_ns(F.col("mtime_raw")).alias("ns")), f"WITH lm AS ({_LM}) SELECT path, {_ns('mtime_raw')} AS ns FROM lm")
+add(
+    "mtime_write_normalize", lambda s, d: V.local_manifest(s, d).select("path", S.write_ns(F.col("mtime_raw")).alias("ns")),
+    f"WITH lm AS ({_LM}) SELECT path, CASE WHEN mtime_raw > 500000000000000000 THEN mtime_raw WHEN mtime_raw < 116444736000000000 THEN greatest(mtime_raw, 0) ELSE greatest((mtime_raw - 116444736000000000) * 100, 0) END AS ns FROM lm",
+)
+add(
+    "mtime_tolerance",
+    lambda s, d: V.remote_manifest(s, d).alias("r").join(V.local_manifest(s, d).alias("l"), "path").select("path", S.same_time(F.col("l.mtime_raw"), F.col("r.mtime_raw")).alias("same")),
+    f"WITH rm AS ({_RM}), lm AS ({_LM}) SELECT r.path, {_SAME_TIME} AS same FROM rm r JOIN lm l ON r.path = l.path",
+)
+add(
+    "compare_tables",
+    lambda s, d: C.compare_tables(
+        V.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").filter("o_orderkey % 11 <> 0"),
+        V.table(s, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey", "o_orderstatus").filter("o_orderkey % 13 <> 0"),
+        ["o_orderkey"],
+    ),
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'EXTRA' WHEN o_orderkey % 13 = 0 THEN 'MISSING' WHEN o_orderkey % 7 = 0 THEN 'DIFF' ELSE 'SAME' END AS category FROM orders WHERE NOT (o_orderkey % 11 = 0 AND o_orderkey % 13 = 0)",
+)
+add("report_rows", lambda s, d: R.report_rows(_fast(s, d)), _cmp("fast") + "SELECT * FROM cmp WHERE category <> 'SAME'")
+add("report_filter_diff", lambda s, d: R.report_rows(_fast(s, d), ("DIFF",)), _cmp("fast") + "SELECT * FROM cmp WHERE category = 'DIFF'")
+add("report_text", lambda s, d: R.text_lines(_fast(s, d)), _cmp("fast") + "SELECT path, '[' || category || '] ' || path || CASE WHEN category = 'DIFF' THEN '  local=' || coalesce(local_size::VARCHAR, '-') || ' remote=' || coalesce(remote_size::VARCHAR, '-') ELSE '' END AS line FROM cmp WHERE category <> 'SAME'")
+add(
+    "report_json", lambda s, d: R.json_lines(_fast(s, d)),
+    _cmp("fast") + """SELECT path, '{"type":"' || category || '","path":"' || path || '","local_size":' || coalesce(local_size::VARCHAR, 'null') || ',"remote_size":' || coalesce(remote_size::VARCHAR, 'null') || ',"hash_compared":' || hash_compared::VARCHAR || '}' AS json FROM cmp WHERE category <> 'SAME'""",
+)
+add("report_json_summary", lambda s, d: R.json_summary(_fast(s, d), "fast", 0, False), _cmp("fast") + f"""SELECT '{{"same":' || same || ',"diff":' || diff || ',"missing":' || missing || ',"extra_local":' || extra_local || ',"total_compared":' || total || ',"mode":"fast","duration_ms":0,"partial":false}}' AS json FROM ({_COUNT})""")
+add("size_histogram", lambda s, d: M.size_histogram(V.remote_manifest(s, d)), f"WITH rm AS ({_RM}) SELECT CASE WHEN size < 4096 THEN '<4K' WHEN size < 16384 THEN '<16K' WHEN size < 65536 THEN '<64K' WHEN size < 262144 THEN '<256K' WHEN size < 1048576 THEN '<1M' ELSE '>=1M' END AS bucket, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM rm GROUP BY 1")
+_DELTA_T = f"rm AS ({_RM}), lm AS ({_LM}), x AS (SELECT abs(l.mtime_raw - r.mtime_raw) AS delta FROM rm r JOIN lm l ON r.path = l.path AND r.size = l.size)"
+add(
+    "mtime_delta_percentiles",
+    lambda s, d: M.nearest_rank(V.remote_manifest(s, d).alias("r").join(V.local_manifest(s, d).alias("l"), ["path", "size"]).select(F.abs(F.col("l.mtime_raw") - F.col("r.mtime_raw")).alias("delta")), "delta"),
+    f"WITH {_DELTA_T}, n AS (SELECT delta, row_number() OVER (ORDER BY delta) - 1 AS i, count(*) OVER () AS n FROM x) SELECT share, delta AS value FROM n JOIN (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (1.0::DOUBLE)) v(share) ON i = floor(share * (n - 1) + 0.5)",
+)
+add("log2_hist_p95", lambda s, d: M.log2_p95(V.remote_manifest(s, d), "size"), f"WITH rm AS ({_RM}), h AS (SELECT CASE WHEN size <= 0 THEN 0 ELSE length(ltrim(bin(size), '0')) END AS b, count(*) AS c FROM rm GROUP BY 1), t AS (SELECT b, sum(c) OVER (ORDER BY b) AS t, sum(c) OVER () AS n FROM h) SELECT CAST(1 AS BIGINT) << min(least(31, b)) AS p95_upper FROM t WHERE t >= ceil(n * 0.95)")
+add(
+    "last_wins_dedup",
+    lambda s, d: C.last_wins(V.table(s, d, "conversations").selectExpr("concat('conv/', conv_id) AS path", "turn", "octet_length(text) AS size"), "turn").select("path", "turn", "size"),
+    "SELECT 'conv/' || conv_id AS path, turn, strlen(text) AS size FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
+)
+add(
+    "hash_cache_hits",
+    lambda s, d: C.cached_hashes(V.remote_manifest(s, d), V.local_manifest(s, d)).agg(F.count("*").alias("entries"), F.count("cached_hash").alias("hits"), F.count_if(F.col("cached_hash").isNull()).alias("misses")),
+    f"WITH rm AS ({_RM}), lm AS ({_LM}) SELECT count(*) AS entries, count(l.path) AS hits, count(*) - count(l.path) AS misses FROM rm r LEFT JOIN lm l USING (path, size, mtime_raw)",
+)
+_plan = lambda s, d: P.actions(_fast(s, d), batch_limit=1024, large_from=16384, delta_from=4096)
+_ACT = """SELECT path, CASE WHEN category = 'SAME' THEN CASE WHEN hash_compared THEN 'touch' ELSE 'skip' END WHEN category = 'EXTRA' THEN 'delete_file' WHEN coalesce(remote_size >= 4096 AND local_size > 0, false) THEN 'delta' WHEN remote_size <= 1024 THEN 'batch' WHEN remote_size >= 16384 THEN 'large' ELSE 'regular' END AS action FROM cmp"""
+add("compare_actions", _plan, _cmp("fast") + _ACT)
+add("sync_counters", lambda s, d: P.sync_counters(_plan(s, d).withColumn("ok", F.octet_length("path") % 9 != 0)), _cmp("fast") + f", a AS ({_ACT}), b AS (SELECT *, strlen(path) % 9 <> 0 AS ok FROM a) SELECT count(*) FILTER (action IN ('skip', 'touch')) AS unchanged, count(*) FILTER (action NOT IN ('skip', 'touch', 'delete_file') AND ok) AS transferred, count(*) FILTER (action NOT IN ('skip', 'touch') AND NOT ok) AS failed, count(*) FILTER (action = 'delete_file' AND ok) AS deleted, count(*) FILTER (action <> 'delete_file') AS compared FROM b")
+add("route_tiers", lambda s, d: V.remote_manifest(s, d).groupBy(P.route(F.col("size"), 1024, 8192).alias("tier")).agg(F.count("*").alias("files")), f"WITH rm AS ({_RM}) SELECT CASE WHEN size <= 1024 THEN 'batch' WHEN size >= 8192 THEN 'large' ELSE 'regular' END AS tier, count(*) AS files FROM rm GROUP BY 1")
+add("delete_plan", lambda s, d: P.delete_plan(C.extras(V.remote_manifest(s, d), V.local_manifest(s, d)), snapshot_complete=True), f"WITH rm AS ({_RM}), lm AS ({_LM}) SELECT path, row_number() OVER (ORDER BY strlen(path) DESC, path) AS step FROM lm WHERE path NOT IN (SELECT path FROM rm)")
+add("ancestor_dirs", lambda s, d: V.directories(V.remote_manifest(s, d)), f"WITH rm AS ({_RM}) {_DIRS.format('rm')}")
+_lost = lambda s, d: P.empty_dirs(V.directories(V.remote_manifest(s, d)), V.remote_manifest(s, d).filter("size > 2000"), V.directories(V.local_manifest(s, d).filter("size > 6000")))
+_LOST = f"WITH rm AS ({_RM}), lm AS ({_LM}), big AS (SELECT * FROM rm WHERE size > 2000), loc AS (SELECT * FROM lm WHERE size > 6000), e AS (SELECT dir FROM ({_DIRS.format('rm')}) WHERE dir NOT IN ({_DIRS.format('big')}) AND dir NOT IN ({_DIRS.format('loc')})) "
+add("empty_dirs", _lost, _LOST + "SELECT dir FROM e")
+add("deepest_dirs", lambda s, d: P.deepest(V.directories(V.remote_manifest(s, d))), f"WITH rm AS ({_RM}), a AS ({_DIRS.format('rm')}), n AS (SELECT dir, lead(dir) OVER (ORDER BY dir) AS nxt FROM a) SELECT dir FROM n WHERE NOT coalesce(starts_with(nxt, dir || '/'), false)")
+add("block_slices", lambda s, d: P.slices(V.remote_manifest(s, d), "size", 4096).select("path", "offset", "len"), f"WITH rm AS ({_RM}), x AS (SELECT path, size, unnest(range(0, size, 4096)) AS o FROM rm WHERE size > 0) SELECT path, o AS offset, least(4096, size - o) AS len FROM x")
+add("batch_pack", lambda s, d: P.packed(V.remote_manifest(s, d).withColumn("dir", S.parent_dir(F.col("path"))), "dir", max_files=8, max_bytes=8192))
+
+
+def _line(**cols):
+    def run(s, d):
+        base = V.table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CAST(round(l_extendedprice) AS BIGINT) * 37 AS n", "CAST(l_quantity AS BIGINT) AS q")
+        return base.select("l_orderkey", "l_linenumber", *[f(F.col("n"), F.col("q")).alias(c) for c, f in cols.items()])
+
+    return run
+
+
+def _lsql(**cols):
+    return "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + " FROM (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice) AS BIGINT) * 37 AS n, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"
+
+
+def _or_none(c):
+    return F.coalesce(c, S.long(-1))
+
+
+_BS = "least(131072, greatest(2048, CAST(ceil(floor(sqrt(n)) / 1024) AS BIGINT) * 1024))"
+add("block_size", _line(block=lambda n, q: S.block_size(n)), _lsql(block=_BS))
+add("strong_len", _line(strong=lambda n, q: S.strong_len(n)), _lsql(strong="CASE WHEN n <= 65536 THEN 8 WHEN n <= 4194304 THEN 12 ELSE 16 END"))
+add("bucket_of", _line(bucket=lambda n, q: S.bucket_of(n)), _lsql(bucket="xor(n >> 16, n & 65535)"))
+add("early_stop_prefix", _line(prefix=lambda n, q: S.early_stop_prefix(q * 1024, n * 100)), _lsql(prefix="least(268435456, greatest(greatest(1048576, q * 1024 * 256), n * 100 // 100 * 5 + n * 100 % 100 * 5 // 100))"))
+add("benefit_gate", _line(rejected=lambda n, q: S.rejects_benefit(q, q + n % 40)), _lsql(rejected="q * 100 >= (q + n % 40) * 65"))
+add("projection_gate", _line(rejected=lambda n, q: S.rejects_projection(q, n % 100, n, n + q)), _lsql(rejected="n % 100 <> 0 AND q::HUGEINT * n * 100 < (n + q)::HUGEINT * (n % 100) * 35"))
+add("rtt_streams", _line(streams=lambda n, q: S.streams_for_rtt(q * 2)), _lsql(streams="CASE WHEN q * 2 <= 10 THEN 4 WHEN q * 2 <= 30 THEN 8 WHEN q * 2 <= 60 THEN 12 ELSE 16 END"))
+add("backpressure", _line(us=lambda n, q: S.backpressure_us(n % 300, q + 20)), _lsql(us="CASE WHEN n % 300 <= q + 20 THEN 0 WHEN n % 300 - q - 20 > (q + 20) * 2 THEN 5000 WHEN n % 300 - q - 20 > q + 20 THEN 3000 WHEN n % 300 - q - 20 > (q + 20) // 2 THEN 1500 WHEN n % 300 - q - 20 > (q + 20) // 4 THEN 700 ELSE 300 END"))
+add("reserved_slots", _line(slots=lambda n, q: S.reserved_slots(q)), _lsql(slots="CASE WHEN q <= 2 THEN greatest(q - 1, 0) ELSE least(4, greatest(2, q // 8)) END"))
+add("reconnect_backoff", _line(s=lambda n, q: S.reconnect_seconds(q.cast("int"))), _lsql(s="least(30, CAST(1 AS BIGINT) << CAST(least(q - 1, 5) AS INTEGER))"))
+add("align", _line(up=lambda n, q: S.align_up(n, 4096), down=lambda n, q: S.align_down(n, 4096)), _lsql(up="(n + 4095) // 4096 * 4096", down="n // 4096 * 4096"))
+add("parse_size", _line(bytes=lambda n, q: _or_none(S.size_units(F.concat(q.cast("string"), F.element_at(F.array(*map(F.lit, ["", "b", "K", "kb", "m", "MB", "g", "1T"])), (n % 8 + 1).cast("int")))))), _lsql(bytes="CASE n % 8 WHEN 0 THEN q WHEN 1 THEN q WHEN 2 THEN q * 1024 WHEN 3 THEN q * 1024 WHEN 4 THEN q * 1048576 WHEN 5 THEN q * 1048576 WHEN 6 THEN q * 1073741824 ELSE -1 END"))
+add("parse_duration", _line(ms=lambda n, q: _or_none(S.duration_ms(F.concat(q.cast("string"), F.element_at(F.array(*map(F.lit, ["", "s", "sec", "m", "min", "h", "hr", "d"])), (n % 8 + 1).cast("int")))))), _lsql(ms="CASE WHEN n % 8 < 3 THEN q * 1000 WHEN n % 8 < 5 THEN q * 60000 WHEN n % 8 < 7 THEN q * 3600000 ELSE -1 END"))
+
+
+def _host_port(s, d):
+    host, port = S.host_port(F.col("e"), 443)
+    return V.table(s, d, "supplier").selectExpr("s_suppkey", "CASE s_suppkey % 4 WHEN 0 THEN concat('h', s_suppkey) WHEN 1 THEN concat('h', s_suppkey, ':', s_suppkey * 900) WHEN 2 THEN concat('[fe80::', s_suppkey, ']:', s_suppkey) ELSE concat('fe80::', s_suppkey) END AS e").select("s_suppkey", host.alias("host"), port.alias("port"))
+
+
+add("host_port", _host_port, "SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 2 THEN 'h' || s_suppkey ELSE 'fe80::' || s_suppkey END AS host, CASE s_suppkey % 4 WHEN 1 THEN CASE WHEN s_suppkey * 900 <= 65535 THEN s_suppkey * 900 END WHEN 2 THEN s_suppkey ELSE 443 END AS port FROM supplier")
+add("parent_dirs", lambda s, d: V.remote_manifest(s, d).select("path", S.parent_dir(F.col("path")).alias("dir"), S.base_name(F.col("path")).alias("name")), f"WITH rm AS ({_RM}) SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '[^/]*$', 0) AS name FROM rm")
+add("fatal_errors", lambda s, d: V.table(s, d, "events").select("event_id", S.fatal(F.concat(F.lit("Server error: "), "event_type"), ["error"], ["Protocol error: "]).alias("fatal")), "SELECT event_id, contains('Server error: ' || event_type, 'error') AS fatal FROM events")
+add("elapsed_text", _line(text=lambda n, q: S.elapsed(n % 9000)), _lsql(text="CASE WHEN n % 9000 >= 3600 THEN printf('%dh %dm %.1fs', n % 9000 // 3600, n % 3600 // 60, (n % 60)::DOUBLE) WHEN n % 9000 >= 60 THEN printf('%dm %.1fs', n % 9000 // 60, (n % 60)::DOUBLE) ELSE printf('%.1fs', (n % 60)::DOUBLE) END".replace("n % 3600", "n % 9000 % 3600").replace("n % 60)", "n % 9000 % 60)")))
+
+
+def _files(s, d):
+    return V.table(s, d, "documents").selectExpr("concat(lang, '/', source, '/', doc_id) AS path", "encode(text, 'UTF-8') AS content", "CAST(octet_length(text) AS BIGINT) AS size")
+
+
+add(
+    "block_weak", lambda s, d: D.block_weak(_files(s, d), "content", 2048).select("path", "block_index", "len", "weak"),
+    """WITH f AS (SELECT concat(lang, '/', source, '/', doc_id) AS path, hex(encode(text)) AS h, strlen(text) AS n FROM documents), b AS (SELECT path, n, h, unnest(range(0, CAST(ceil(n / 2048) AS BIGINT))) AS k FROM f WHERE n > 0),
+    c AS (SELECT path, k, least(2048, n - k * 2048) AS len, substr(h, k * 4096 + 1, 4096) AS h FROM b), x AS (SELECT path, k, len, unnest(range(0, len)) AS i, h FROM c),
+    v AS (SELECT path, k, len, i, (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 AS v FROM x)
+    SELECT path, k AS block_index, len, CAST(sum(v * (i + 1)) % 65536 * 65536 + sum(v) % 65536 AS BIGINT) AS weak FROM v GROUP BY path, k, len""",
+)
+_blocks = lambda s, d: P.slices(V.remote_manifest(s, d), "size", 512).select("path", (F.col("offset") / 512).cast("long").alias("block_index"), "offset", "len").withColumn("matched", (F.col("block_index") * 7 + F.octet_length("path")) % 3 == 0)
+_RUNS = f"WITH rm AS ({_RM}), x AS (SELECT path, size, unnest(range(0, size, 512)) AS o FROM rm WHERE size > 0), m AS (SELECT path, o // 512 AS k, o, least(512, size - o) AS len FROM x WHERE (o // 512 * 7 + strlen(path)) % 3 <> 0), g AS (SELECT *, k - row_number() OVER (PARTITION BY path ORDER BY k) AS g FROM m), r AS (SELECT path, min(k) AS first_block, min(o) AS offset, CAST(sum(len) AS BIGINT) AS len FROM g GROUP BY path, g) "
+add("miss_runs", lambda s, d: D.miss_runs(_blocks(s, d)), _RUNS + "SELECT * FROM r")
+add("range_slices", lambda s, d: P.slices(D.miss_runs(_blocks(s, d)).withColumnRenamed("len", "run").withColumnRenamed("offset", "base"), "run", 700, "base").select("path", "offset", "len"), _RUNS + ", s AS (SELECT path, \"offset\" AS o, len, unnest(range(0, len, 700)) AS a FROM r) SELECT path, o + a AS \"offset\", least(700, len - a) AS len FROM s")
+
+
+def _pairs(s, d):
+    docs = V.table(s, d, "documents").groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("r"))
+    old = F.array_join(F.transform("r", lambda x: x["text"]), "\n")
+    new = F.array_join(F.transform(F.filter("r", lambda x: x["doc_id"] % 5 != 0), lambda x: x["text"]), "\n")
+    return docs.select(F.concat_ws("/", "lang", "source").alias("path"), F.encode(old, "UTF-8").alias("old"), F.encode(new, "UTF-8").alias("new"))
+
+
+add("delta_plan", lambda s, d: D.delta_plan(_pairs(s, d)))
+add("best_edges", lambda s, d: L.best_edges(V.matrix(s, d)).select("client", "server", "edge"), "SELECT 'c' || c_custkey % 4 AS client, 's' || s_suppkey % 3 AS server, c_custkey * 100000 + s_suppkey AS edge FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE (c_custkey + s_suppkey) % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY c_custkey % 4, s_suppkey % 3 ORDER BY c_custkey % 2, (c_custkey + s_suppkey) % 2, (c_custkey * 7 + s_suppkey * 13) % 100, c_custkey * 100000 + s_suppkey) = 1")
+add("lane_pick", lambda s, d: L.pick_lane(V.lanes(s, d), "grp"), "SELECT s_nationkey AS grp, arg_min(s_suppkey, ((s_suppkey % 5 + s_suppkey % 2) / (1 + s_suppkey % 3)::DOUBLE, s_suppkey)) AS lane FROM supplier WHERE s_suppkey % 7 <> 0 GROUP BY 1")
+add("link_plan", lambda s, d: L.link_plan(L.best_edges(V.matrix(s, d)).select(F.lit(0).alias("grp"), "client", "server", F.col("rtt").alias("rank")), "grp", 2))
+_SER = "SELECT user_id, list(coalesce(value, 0) ORDER BY ts, event_id) AS v FROM events GROUP BY user_id"
+add("ewma", lambda s, d: V.user_series(s, d).select("user_id", F.round(K.ewma(F.col("values")), 6).alias("ewma")), f"SELECT user_id, round(list_reduce(v, lambda a, x: CASE WHEN a <= 0 THEN x ELSE a * 0.8::DOUBLE + x * 0.2::DOUBLE END, 0::DOUBLE), 6) AS ewma FROM ({_SER})")
+add("net_window", lambda s, d: V.user_series(s, d).select("user_id", K.net_window(F.transform("values", lambda x: x / 50), 8, 2, 64).alias("w")), f"SELECT user_id, CAST(list_reduce(list_transform(v, lambda x: x / 50), lambda w, r: CASE WHEN r <= 0 THEN w WHEN r <= 1.25 THEN least(64, w + 1) WHEN r > 2 THEN greatest(2, floor(w * 0.6::DOUBLE)) ELSE w END, 8::DOUBLE) AS INTEGER) AS w FROM ({_SER})")
+add("retry_budget", lambda s, d: V.user_series(s, d).select("user_id", K.retries(F.transform("values", lambda x: x > 95)).alias("state")), f"SELECT user_id, CASE WHEN s >= 100 THEN 'done' WHEN s > 3 THEN 'failed' ELSE 'pending' END AS state FROM (SELECT user_id, list_reduce(list_transform(v, lambda x: CASE WHEN x > 95 THEN 1 ELSE 0 END), lambda s, ok: CASE WHEN s >= 100 THEN s WHEN ok = 1 THEN 100 ELSE s + 1 END, 0) AS s FROM ({_SER}))")
+add(
+    "session_idle_grace", lambda s, d: W.grouped_sessions(V.user_sessions(s, d)),
+    """WITH u AS (SELECT user_id, date_trunc('hour', ts) AS h, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1, 2), o AS (SELECT a, b, max(b + INTERVAL 5 SECOND) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
+    g AS (SELECT a, b, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (ORDER BY a, b) AS g FROM o) SELECT min(a) AS start_ts, max(b) AS end_ts, count(*) AS sessions FROM g GROUP BY g""",
+)
+add("event_rates", lambda s, d: W.rates(V.table(s, d, "events").withColumn("one", F.lit(1)), "1 hour", "one"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_ts, count(*) AS n, CAST(count(*) AS BIGINT) AS total FROM events GROUP BY 1")

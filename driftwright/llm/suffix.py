@@ -32,6 +32,8 @@ GRAM = 20
 SHARD_BYTES = 2 << 20
 #: Samples (8 bytes each) that one owner merges, about, and bytes of contexts that one owner compares, about.
 OWNED_BYTES = 4 << 20
+#: Contexts that an owner compares at once, about; all of one sample stay together.
+BLOCK_ROWS = 1 << 15
 #: A sample in more shards than this is dealt by the strings around it.
 HOT_SHARDS = 2048
 NULL_ID = np.iinfo(np.int64).max
@@ -325,21 +327,27 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         """Starts of strings that a smaller document holds too, back to their shards."""
         width = length if got.column("bucket")[0].as_py() >= owners else 2 * length - GRAM
         kind = _kind(width)
-        parts = [np.frombuffer(pa.decompress(d[8:], int.from_bytes(d[:8], "little"), "zstd", asbytes=True), kind) for d in got.column("data").to_pylist()]
-        names = got.column("shard").to_pylist()
-        rows = np.concatenate(parts)
-        shard = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        found: list[list[np.ndarray]] = [[] for _ in parts]
-        h = None
-        for start in range(width - length + 1):  # the strings that hold the sample, from left to right
-            h = _row_hash(rows["bytes"], 0, length) if h is None else _roll(h, rows["bytes"], start, length)
-            ok = np.flatnonzero((rows["from"] <= start) & (rows["to"] >= start + length))
-            least = _least_ids(h[ok], rows["bytes"][ok, start : start + length], rows["id"][ok])
-            late = ok[rows["id"][ok] > least]
-            order = np.argsort(shard[late], kind="stable")
-            late = late[order]
-            for b, x, y in _cut(shard[late]):
-                found[b].append(rows["pos"][late[x:y]] + start)
+        names, packed = got.column("shard").to_pylist(), [d.as_buffer() for d in got.column("data")]
+        sizes = [int.from_bytes(d[:8].to_pybytes(), "little") // kind.itemsize for d in packed]
+        rows, shard = np.empty(sum(sizes), kind), np.repeat(np.arange(len(sizes)), sizes)
+        for d, x, n in zip(packed, np.cumsum(sizes) - sizes, sizes, strict=True):
+            rows[x : x + n] = np.frombuffer(pa.decompress(d[8:], n * kind.itemsize, "zstd"), kind)
+        found: list[list[np.ndarray]] = [[] for _ in sizes]
+        # Strings can only be equal if their samples are (width - length bytes in): blocks of whole samples.
+        sample_at = width - length
+        sample = _row_hash(rows["bytes"], sample_at, GRAM if sample_at else length)
+        order = np.argsort(sample)
+        edge = np.flatnonzero(np.append(True, sample[order][1:] != sample[order][:-1])) if len(order) else order
+        for block in np.split(order, edge[1:][np.diff(edge // BLOCK_ROWS) > 0]):
+            part, own, h = rows[block], shard[block], None
+            for start in range(sample_at + 1):  # the strings that hold the sample, from left to right
+                h = _row_hash(part["bytes"], 0, length) if h is None else _roll(h, part["bytes"], start, length)
+                ok = np.flatnonzero((part["from"] <= start) & (part["to"] >= start + length))
+                least = _least_ids(h[ok], part["bytes"][ok, start : start + length], part["id"][ok])
+                late = ok[part["id"][ok] > least]
+                late = late[np.argsort(own[late], kind="stable")]
+                for b, x, y in _cut(own[late]):
+                    found[b].append(part["pos"][late[x:y]] + start)
         out = [(0, names[i], np.concatenate(f).astype(np.int64).tobytes()) for i, f in enumerate(found) if f]
         return pa.Table.from_batches([_message(out)])
 

@@ -4,6 +4,7 @@ Documents are packed into shards of a few MB. Each shard gets a suffix array by
 refinement (groups that still tie are sorted again by the rank of the suffix a power of two further
 on, until LENGTH bytes are told apart) and common prefixes by Kasai's rule (a suffix whose
 predecessor moved along with it has one byte less in common), which settles repeats within a shard.
+Bytes that no string with a repeated hash covers are left out of the array, as they occur once.
 
 Across shards only sampled suffixes move. Every LENGTH-byte string holds a minimizer: the smallest
 hash among its 20-byte substrings, so equal strings anywhere sample equal suffixes. Owners of hash
@@ -147,16 +148,51 @@ def common_prefixes(s: Shard, pos: np.ndarray, group: np.ndarray, cap: int) -> n
     return out
 
 
+def _window_hashes(s: Shard, width: int) -> np.ndarray:
+    """Hashes of all strings of `width` bytes, by start, whatever documents they cross."""
+    n = len(s.data)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum((s.data.astype(np.uint64) + np.uint64(1)) * _powers("p", _P, n), out=prefix[1:])
+    out = prefix[width:] - prefix[:-width]
+    del prefix
+    out *= _powers("pinv", _PINV, n - width + 1)
+    return mix(out)
+
+
+def repeating_part(s: Shard, length: int) -> tuple[Shard, np.ndarray]:
+    """The bytes that strings of `length` bytes with equal hashes cover, each run of them as a document, and where they lie in s.
+
+    Strings that are left out have a hash of their own, so they occur once; those that stay are told
+    apart by their bytes.
+    """
+    pos = s.left(length)
+    hashes = _window_hashes(s, length)[pos] if len(pos) else np.zeros(0, np.uint64)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    equal = hashes[1:] == hashes[:-1]
+    twice = pos[order[np.append(False, equal) | np.append(equal, False)]] if len(order) else pos
+    edge = np.zeros(len(s.data) + 1, np.int32)
+    edge[twice] += 1
+    edge[twice + length] -= 1  # twice holds each position once
+    at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    doc = np.searchsorted(s.offs, at, side="right") - 1
+    first = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(doc, prepend=-1) > 0))
+    return Shard(s.ids[doc[first]], np.append(first, len(at)), s.data[at]), at
+
+
 def repeats_within(s: Shard, length: int) -> np.ndarray:
     """Whether the string of `length` bytes that starts at each position also starts in a smaller document of the shard."""
     covered = np.zeros(len(s.data), bool)
-    pos, group = suffix_groups(s, length)
+    part, at = repeating_part(s, length)
+    pos, group = suffix_groups(part, length)
     if len(pos):
-        first = common_prefixes(s, pos, group, length) < length
+        first = common_prefixes(part, pos, group, length) < length
         starts = np.flatnonzero(first)
-        ids = s.doc_of(pos)
+        ids = part.doc_of(pos)
         least = np.minimum.reduceat(ids, starts)
-        covered[pos] = ids > least[np.cumsum(first) - 1]
+        covered[at[pos]] = ids > least[np.cumsum(first) - 1]
     return covered
 
 
@@ -175,10 +211,7 @@ def samples(s: Shard, wanted: np.ndarray, length: int, gram: int = GRAM) -> tupl
     n, width = len(s.data), length - gram + 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((s.data.astype(np.uint64) + np.uint64(1)) * _powers("p", _P, n), out=prefix[1:])
-    hashes = mix((prefix[gram:] - prefix[:-gram]) * _powers("pinv", _PINV, n - gram + 1))
-    del prefix
+    hashes = _window_hashes(s, gram)
     least = _slide(hashes, width, np.minimum)  # of each string, by start
     least[~wanted[: len(least)]] = 0
     # A position is sampled if some wanted string that holds it has its hash as the least.

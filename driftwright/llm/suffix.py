@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import _P, _PINV, _powers, buffers, mix
-from .common import filesystem, new_path, table, written
+from .common import filesystem, new_path, table, trim, written
 
 LENGTH = 50
 GRAM = 20
@@ -279,6 +279,7 @@ def make_shards(docs: DataFrame, id_col: str, text_col: str, length: int, shard_
             s = Shard(np.concatenate(ids), offs, np.frombuffer(b"".join(texts), np.uint8))
             files.put(name, s.dump())
             files.put(f"{name}.within", np.packbits(repeats_within(s, length)).tobytes())
+            trim()
             return pa.RecordBatch.from_pydict({"shard": [name], "bytes": pa.array([len(s.data)], pa.int64())})
 
         for batch in batches:
@@ -317,7 +318,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for name in batch.column("shard").to_pylist():
                 s, _, wanted = files.shard(name, length)
                 hashes = np.unique(samples(s, wanted, length)[1])
-                yield _message([(b, name, hashes[x:y].tobytes()) for b, x, y in _cut(_ranges(hashes, owners))])
+                out = _message([(b, name, hashes[x:y].tobytes()) for b, x, y in _cut(_ranges(hashes, owners))])
+                del s, wanted, hashes
+                trim()
+                yield out
 
     def merge(got: pa.Table) -> pa.Table:
         """The samples of one range that two shards or more hold, back to the shards that hold them."""
@@ -412,12 +416,19 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def by(df: DataFrame, key: str, n: int):
         return df.repartition(max(1, min(n, 20_000)), key).groupBy(key)
 
+    def lean(step):
+        def run(got: pa.Table) -> pa.Table:
+            trim()  # what the group before has left
+            return step(got)
+
+        return run
+
     sampled = list_.mapInArrow(sample, _MESSAGE)
-    held = by(sampled, "bucket", owners).applyInArrow(merge, _MESSAGE)
-    around = by(held, "shard", tasks).applyInArrow(contexts, _MESSAGE)
-    starts = by(around, "bucket", owners).applyInArrow(compare, _MESSAGE)
+    held = by(sampled, "bucket", owners).applyInArrow(lean(merge), _MESSAGE)
+    around = by(held, "shard", tasks).applyInArrow(lean(contexts), _MESSAGE)
+    starts = by(around, "bucket", owners).applyInArrow(lean(compare), _MESSAGE)
     every = starts.select("shard", "data").unionByName(manifest.select("shard", F.lit(b"").alias("data")))
-    result = by(every, "shard", tasks).applyInArrow(finish, "id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary")
+    result = by(every, "shard", tasks).applyInArrow(lean(finish), "id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary")
     result = result.withColumnRenamed("id", id_col)
     return result if with_text else result.drop("kept")
 

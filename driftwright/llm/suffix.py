@@ -340,7 +340,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pa.Table.from_batches([_message(rows)])
 
     def contexts(got: pa.Table) -> pa.Table:
-        """For each sample that another shard holds, the bytes around it: of equal contexts those of the smallest document."""
+        """For each sample that another shard holds, the bytes around it: of equal contexts one, of the smallest document."""
         name = got.column("shard")[0].as_py()
         s, _, wanted = _Store(folder).shard(name, length)
         held = np.concatenate([np.frombuffer(d, np.uint64).reshape(2, -1) for d in got.column("data").to_pylist()], axis=1)
@@ -349,14 +349,13 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         at = np.minimum(np.searchsorted(held[0], hashes), held.shape[1] - 1)
         shared = held[0][at] == hashes
         pos, hashes, hot = pos[shared], hashes[shared], held[1][at[shared]].astype(bool)
-        cold = _records(s, pos[~hot], length - GRAM, 2 * length - GRAM)
-        cold_bucket = _ranges(hashes[~hot], owners)
-        rows = _pack(name, cold, cold_bucket, 0)
+        cold, cold_hash = _distinct(s, pos[~hot], hashes[~hot], length - GRAM, 2 * length - GRAM)
+        rows = _pack(name, cold, _ranges(cold_hash, owners), 0)
         if hot.any():  # each string on its own, dealt by its hash
             starts = np.unique((pos[hot][:, None] - np.arange(length - GRAM + 1)).ravel())
             starts = starts[(starts >= 0)]
             starts = starts[wanted[starts]]
-            each = _records(s, starts, 0, length)
+            each, _ = _distinct(s, starts, starts, 0, length)
             rows += _pack(name, each, _ranges(mix(_row_hash(each["bytes"], 0, length)), owners), owners)
         return pa.Table.from_batches([_message(rows)])
 
@@ -391,8 +390,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def finish(got: pa.Table) -> pa.Table:
         name = got.column("shard")[0].as_py()
         s, covered, _ = _Store(folder).shard(name, length)
-        for d in got.column("data").to_pylist():
-            covered[np.frombuffer(d, np.int64)] = True
+        found = np.unique(np.concatenate([np.frombuffer(d, np.int64) for d in got.column("data").to_pylist()]))
+        covered[found] = True
+        if len(found):
+            spread(s, covered, found, length)
         edge = np.zeros(len(s.data) + 1, np.int32)
         starts = np.flatnonzero(covered)
         np.add.at(edge, starts, 1)
@@ -484,17 +485,47 @@ def _least_ids(h: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(s: Shard, pos: np.ndarray, keys: np.ndarray, before: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """One record, of the smallest document, of each different context, and its key. A text that repeats itself has few contexts, however long."""
+    made, held = np.zeros(0, _kind(width)), keys[:0]
+    for at in range(0, len(pos), BLOCK_ROWS):
+        made = np.concatenate([made, _records(s, pos[at : at + BLOCK_ROWS], before, width)])
+        held = np.concatenate([held, keys[at : at + BLOCK_ROWS]])
+        h = _row_hash(made["bytes"], 0, width) + (made["from"].astype(np.uint64) << np.uint64(8)) + made["to"]
+        order = np.lexsort((made["pos"], made["id"], h))
+        made, held, h = made[order], held[order], h[order]
+        same = np.append(False, h[1:] == h[:-1])
+        same[1:] &= (made["bytes"][1:] == made["bytes"][:-1]).all(axis=1) & (made["from"][1:] == made["from"][:-1]) & (made["to"][1:] == made["to"][:-1])
+        made, held = made[~same], held[~same]
+    return made, held
+
+
+def spread(s: Shard, covered: np.ndarray, starts: np.ndarray, length: int) -> None:
+    """Covers the strings of a shard that equal those at starts, in documents that are no smaller."""
+    hashes, ids = _window_hashes(s, length), s.doc_of(starts)
+    order = np.lexsort((ids, hashes[starts]))
+    lead, key, ids = starts[order], hashes[starts][order], ids[order]
+    seen = np.zeros(1 << 20, bool)
+    seen[(key >> np.uint64(44)).astype(np.int64)] = True
+    pos = s.left(length)
+    pos = pos[~covered[pos]]
+    pos = pos[seen[(hashes[pos] >> np.uint64(44)).astype(np.int64)]]
+    at = np.searchsorted(key, hashes[pos])
+    while len(pos):  # one turn, but for different strings with one hash
+        live = at < len(key)
+        live[live] = key[at[live]] == hashes[pos[live]]
+        pos, at = pos[live], at[live]
+        equal = np.ones(len(pos), bool)
+        for j in range(length):
+            equal &= s.data[pos + j] == s.data[lead[at] + j]
+        covered[pos[equal & (s.doc_of(pos) >= ids[at])]] = True
+        pos, at = pos[~equal], at[~equal] + 1
+
+
 def _pack(name: str, rows: np.ndarray, bucket: np.ndarray, add: int) -> list[tuple]:
-    """Messages by bucket, with the rows of the smallest id only of each different run of bytes."""
-    h = _row_hash(rows["bytes"], 0, rows["bytes"].shape[1]) + (rows["from"].astype(np.uint64) << np.uint64(8)) + rows["to"]
-    order = np.lexsort((rows["id"], h, bucket))
-    rows, h, bucket = rows[order], h[order], bucket[order]
-    if len(rows):
-        same = np.append(False, (h[1:] == h[:-1]) & (bucket[1:] == bucket[:-1]))
-        same[1:] &= (rows["bytes"][1:] == rows["bytes"][:-1]).all(axis=1) & (rows["from"][1:] == rows["from"][:-1]) & (rows["to"][1:] == rows["to"][:-1])
-        first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        keep = rows["id"] == rows["id"][first]  # a later document is covered within the shard; the same one is not
-        rows, bucket = rows[keep], bucket[keep]
+    """Messages of records by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
     out = []
     for b, x, y in _cut(bucket):
         raw = rows[x:y].tobytes()

@@ -311,6 +311,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     tasks = max(1, min(shards, 20_000))
     owners = max(1, total * 2 * 8 // (length - GRAM + 2) // owned_bytes)
     list_ = manifest.select("shard").repartition(tasks)
+    # For a context, the strings in it that a smaller document holds too, as bits.
+    answer = np.dtype([("pos", np.int64), ("mask", np.uint64, ((length - GRAM) // 64 + 1,))])
 
     def sample(batches):
         files = _Store(folder)
@@ -360,7 +362,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pa.Table.from_batches([_message(rows)])
 
     def compare(got: pa.Table) -> pa.Table:
-        """Starts of strings that a smaller document holds too, back to their shards."""
+        """Which strings of each context a smaller document holds too, back to their shards."""
         width = length if got.column("bucket")[0].as_py() >= owners else 2 * length - GRAM
         kind = _kind(width)
         names, packed = got.column("shard").to_pylist(), [d.as_buffer() for d in got.column("data")]
@@ -368,30 +370,35 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         rows, shard = np.empty(sum(sizes), kind), np.repeat(np.arange(len(sizes)), sizes)
         for d, x, n in zip(packed, np.cumsum(sizes) - sizes, sizes, strict=True):
             rows[x : x + n] = np.frombuffer(pa.decompress(d[8:], n * kind.itemsize, "zstd"), kind)
-        found: list[list[np.ndarray]] = [[] for _ in sizes]
+        late_at = np.zeros((len(rows), (length - GRAM) // 64 + 1), np.uint64)
         # Strings can only be equal if their samples are (width - length bytes in): blocks of whole samples.
         sample_at = width - length
         sample = _row_hash(rows["bytes"], sample_at, GRAM if sample_at else length)
         order = np.argsort(sample)
         edge = np.flatnonzero(np.append(True, sample[order][1:] != sample[order][:-1])) if len(order) else order
         for block in np.split(order, edge[1:][np.diff(edge // BLOCK_ROWS) > 0]):
-            part, own, h = rows[block], shard[block], None
+            part, h = rows[block], None
             for start in range(sample_at + 1):  # the strings that hold the sample, from left to right
                 h = _row_hash(part["bytes"], 0, length) if h is None else _roll(h, part["bytes"], start, length)
                 ok = np.flatnonzero((part["from"] <= start) & (part["to"] >= start + length))
                 least = _least_ids(h[ok], part["bytes"][ok, start : start + length], part["id"][ok])
-                late = ok[part["id"][ok] > least]
-                late = late[np.argsort(own[late], kind="stable")]
-                for b, x, y in _cut(own[late]):
-                    found[b].append(part["pos"][late[x:y]] + start)
-        out = [(0, names[i], np.concatenate(f).astype(np.int64).tobytes()) for i, f in enumerate(found) if f]
-        return pa.Table.from_batches([_message(out)])
+                late_at[block[ok[part["id"][ok] > least]], start // 64] |= np.uint64(1 << start % 64)
+        some = np.flatnonzero(late_at.any(axis=1))  # in order of shards
+        made = np.empty(len(some), answer)
+        made["pos"], made["mask"] = rows["pos"][some], late_at[some]
+        return pa.Table.from_batches([_message([(0, names[b], made[x:y].tobytes()) for b, x, y in _cut(shard[some])])])
 
     def finish(got: pa.Table) -> pa.Table:
         name = got.column("shard")[0].as_py()
         s, covered, _ = _Store(folder).shard(name, length)
-        found = np.unique(np.concatenate([np.frombuffer(d, np.int64) for d in got.column("data").to_pylist()]))
-        covered[found] = True
+        crossed = np.zeros(len(s.data), bool)
+        for d in got.column("data").to_pylist():
+            said = np.frombuffer(d, answer)
+            for start in range(length - GRAM + 1):
+                late = (said["mask"][:, start // 64] >> np.uint64(start % 64)) & np.uint64(1) > 0
+                crossed[said["pos"][late] + start] = True
+        covered |= crossed
+        found = np.flatnonzero(crossed)
         if len(found):
             spread(s, covered, found, length)
         edge = np.zeros(len(s.data) + 1, np.int32)

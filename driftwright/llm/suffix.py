@@ -132,17 +132,16 @@ def common_prefixes(s: Shard, pos: np.ndarray, group: np.ndarray, cap: int) -> n
     np.maximum.at(limit, run, np.arange(len(p)) - live[run])
     limit = np.minimum(limit + cap, most[live])  # enough for every suffix that follows
     first = live
-    todo = np.arange(len(first))
-    while len(todo):
-        k = first[todo]
-        h = lcp[k]
-        same = np.ones(len(todo), bool)
-        for _ in range(8):
-            same &= h < limit[todo]
-            same[same] = s.data[p[k[same]] + h[same]] == s.data[q[k[same]] + h[same]]
-            h = h + same
-        lcp[k] = h
-        todo = todo[same]
+    eight = np.ndarray(max(0, len(s.data) - 7), np.uint64, s.data, strides=(1,))  # eight bytes from each position
+    for width, view in ((8, eight), (1, s.data)):
+        todo = np.arange(len(first))
+        while len(todo):
+            k = first[todo]
+            h = lcp[k]
+            same = h + width <= limit[todo]
+            same[same] = view[p[k[same]] + h[same]] == view[q[k[same]] + h[same]]
+            todo = todo[same]
+            lcp[k[same]] += width
     lcp = np.minimum(lcp[first][run] - (np.arange(len(p)) - first[run]), most)
     out[by_text] = np.clip(lcp, 0, cap)
     return out
@@ -161,31 +160,47 @@ def _window_hashes(s: Shard, width: int) -> np.ndarray:
     return mix(out)
 
 
-def repeating_part(s: Shard, length: int) -> tuple[Shard, np.ndarray]:
-    """The bytes that strings of `length` bytes with equal hashes cover, each run of them as a document, and where they lie in s.
+def _near(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Indices of hashes that may be wanted: a table of leading bits passes few others on to a search."""
+    seen = np.zeros(1 << 20, bool)
+    seen[(wanted >> np.uint64(44)).astype(np.int64)] = True
+    return np.flatnonzero(seen[(hashes >> np.uint64(44)).astype(np.int64)])
+
+
+def _found(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each hash is among the sorted wanted ones."""
+    if not len(wanted):
+        return np.zeros(len(hashes), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
+
+
+def repeating_part(s: Shard, length: int) -> tuple[Shard, np.ndarray, np.ndarray]:
+    """The bytes that strings of `length` bytes with equal hashes cover, each run of them as a document; where they lie in s; those strings' starts.
 
     Strings that are left out have a hash of their own, so they occur once; those that stay are told
     apart by their bytes.
     """
     pos = s.left(length)
     hashes = _window_hashes(s, length)[pos] if len(pos) else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    equal = hashes[1:] == hashes[:-1]
-    twice = pos[order[np.append(False, equal) | np.append(equal, False)]] if len(order) else pos
+    ordered = np.sort(hashes)
+    many = ordered[1:][ordered[1:] == ordered[:-1]]
+    near = _near(hashes, many)
+    twice = pos[near[_found(hashes[near], many)]]
     edge = np.zeros(len(s.data) + 1, np.int32)
     edge[twice] += 1
     edge[twice + length] -= 1  # twice holds each position once
     at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     doc = np.searchsorted(s.offs, at, side="right") - 1
     first = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(doc, prepend=-1) > 0))
-    return Shard(s.ids[doc[first]], np.append(first, len(at)), s.data[at]), at
+    return Shard(s.ids[doc[first]], np.append(first, len(at)), s.data[at]), at, twice
 
 
-def repeats_within(s: Shard, length: int) -> np.ndarray:
-    """Whether the string of `length` bytes that starts at each position also starts in a smaller document of the shard."""
+def repeats_within(s: Shard, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the string of `length` bytes that starts at each position also starts in a smaller document of the shard, and whether its hash repeats there at all."""
     covered = np.zeros(len(s.data), bool)
-    part, at = repeating_part(s, length)
+    part, at, twice = repeating_part(s, length)
+    again = np.zeros(len(s.data), bool)
+    again[twice] = True
     pos, group = suffix_groups(part, length)
     if len(pos):
         first = common_prefixes(part, pos, group, length) < length
@@ -193,7 +208,7 @@ def repeats_within(s: Shard, length: int) -> np.ndarray:
         ids = part.doc_of(pos)
         least = np.minimum.reduceat(ids, starts)
         covered[at[pos]] = ids > least[np.cumsum(first) - 1]
-    return covered
+    return covered, again
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -278,7 +293,9 @@ def make_shards(docs: DataFrame, id_col: str, text_col: str, length: int, shard_
             offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             s = Shard(np.concatenate(ids), offs, np.frombuffer(b"".join(texts), np.uint8))
             files.put(name, s.dump())
-            files.put(f"{name}.within", np.packbits(repeats_within(s, length)).tobytes())
+            covered, again = repeats_within(s, length)
+            files.put(f"{name}.within", np.packbits(covered).tobytes())
+            files.put(f"{name}.again", np.packbits(again & ~covered).tobytes())
             trim()
             return pa.RecordBatch.from_pydict({"shard": [name], "bytes": pa.array([len(s.data)], pa.int64())})
 
@@ -390,7 +407,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def finish(got: pa.Table) -> pa.Table:
         name = got.column("shard")[0].as_py()
-        s, covered, _ = _Store(folder).shard(name, length)
+        files = _Store(folder)
+        s, covered, _ = files.shard(name, length)
         crossed = np.zeros(len(s.data), bool)
         for d in got.column("data").to_pylist():
             said = np.frombuffer(d, answer)
@@ -400,7 +418,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         covered |= crossed
         found = np.flatnonzero(crossed)
         if len(found):
-            spread(s, covered, found, length)
+            again = np.unpackbits(np.frombuffer(files.get(f"{name}.again"), np.uint8), count=len(s.data)).astype(bool)
+            spread(s, covered, found, again, length)
         edge = np.zeros(len(s.data) + 1, np.int32)
         starts = np.flatnonzero(covered)
         np.add.at(edge, starts, 1)
@@ -507,16 +526,16 @@ def _distinct(s: Shard, pos: np.ndarray, keys: np.ndarray, before: int, width: i
     return made, held
 
 
-def spread(s: Shard, covered: np.ndarray, starts: np.ndarray, length: int) -> None:
-    """Covers the strings of a shard that equal those at starts, in documents that are no smaller."""
+def spread(s: Shard, covered: np.ndarray, starts: np.ndarray, again: np.ndarray, length: int) -> None:
+    """Covers the strings of a shard that equal those at starts, in documents that are no smaller. again: starts whose hash repeats in the shard."""
+    starts = starts[again[starts]]
+    if not len(starts):
+        return
     hashes, ids = _window_hashes(s, length), s.doc_of(starts)
     order = np.lexsort((ids, hashes[starts]))
     lead, key, ids = starts[order], hashes[starts][order], ids[order]
-    seen = np.zeros(1 << 20, bool)
-    seen[(key >> np.uint64(44)).astype(np.int64)] = True
-    pos = s.left(length)
-    pos = pos[~covered[pos]]
-    pos = pos[seen[(hashes[pos] >> np.uint64(44)).astype(np.int64)]]
+    pos = np.flatnonzero(again & ~covered)
+    pos = pos[_near(hashes[pos], key)]
     at = np.searchsorted(key, hashes[pos])
     while len(pos):  # one turn, but for different strings with one hash
         live = at < len(key)

@@ -81,6 +81,25 @@ def test_suffix_dedup(spark, rows, options):
     assert sorted(have, key=str) == sorted(suffix.brute_force(rows), key=str)
 
 
+def test_suffix_dedup_of_texts_that_repeat_themselves(spark):
+    q, pieces = random.Random(3), ["".join(random.Random(i).choices("abcde ", k=60 + 7 * i)) for i in range(9)]
+    rows = [(q.choice([i, i, 7]), q.choice(["!" * q.randrange(600), "foo bar\n" * q.randrange(70), "".join(q.choices(pieces, k=3))]) + "ab"[: i % 3]) for i in range(60)]
+    got = suffix.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bytes=4000, owned_bytes=2000).collect()
+    have = [(x["doc_id"], x["n_bytes"], x["n_removed"], len(x["spans"]), x["kept_sha256"]) for x in got]
+    assert sorted(have) == sorted(suffix.brute_force(rows))
+
+
+def test_language_sample_has_the_first_rows_by_hash(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(rows))
+    rows = [(i, f"text {i}", "xy"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (5, 40, 1000):
+        langid.fit(df, sample=sample)
+    assert seen[0] == seen[2][:5] and seen[1] == seen[2][:40]
+    assert len(seen[2]) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(300))
+
+
 def test_licenses(spark):
     df = spark.createDataFrame([(1, "x\nReleased under the MIT License."), (2, "He has a license to drive."), (3, None), (4, "")], "doc_id long, text string")
     got = {x["doc_id"]: [(y["line"], y["family"]) for y in x["licenses"]] for x in license.scan_licenses(df).collect()}

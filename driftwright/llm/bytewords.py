@@ -21,6 +21,8 @@ NONSPACE = np.ones(256, bool)
 NONSPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+#: What a byte counts in a hash: its lower case plus one.
+_VALUE = LOWER.astype(np.uint64) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -88,7 +90,9 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offs)
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers("p", _P, n), out=prefix[1:])
+        value = _VALUE[raw]
+        value *= _powers("p", _P, n)
+        np.cumsum(value, out=prefix[1:])
         self.hash = mix((prefix[self.end] - prefix[self.start]) * _powers("pinv", _PINV, n + 1)[self.start] + (self.end - self.start).astype(np.uint64))
 
     def text(self, i: int, j: int) -> bytes:

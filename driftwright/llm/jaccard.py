@@ -6,9 +6,9 @@ of coordinate minima bounds the overlap of two sets from above.
 
 Nodes meet in cells: by the prefix principle two sets with similarity t share one of the first
 n - ceil(t n) + 1 shingles in any common order. The order is by hash, with shingles that are very
-frequent in the whole corpus last, so common passages do not gather documents. Each cell first
-pairs its nodes with a leader of its own; verified pairs are contracted to components. Then an
-R-tree over each cell's points finds all pairs between different components whose bound reaches the
+frequent in the whole corpus last, so common passages do not gather documents. Shingles with the
+same nodes share one cell. Each cell first pairs its nodes with leaders of its own; verified pairs
+are contracted to components. Then an R-tree over each cell's points finds all pairs between different components whose bound reaches the
 threshold. Pairs are bounded once more with finer vectors and verified on the whole sets, so no link
 between components is lost, and a group of thousands of copies costs a star, not a square.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 DIMS = 8
-#: Rounds that pair the nodes of a cell with a leader before all pairs that are left.
+#: Leaders that a cell pairs its nodes with before all pairs that are left.
 STARS = 2
 #: A shingle in this share of all documents, and in 64 at least, comes last in the order; so few shingles are that frequent that their list stays bounded.
 FREQUENT, FREQUENT_LEAST = 0.0005, 64
@@ -36,16 +37,67 @@ FILTER_BITS = 1 << 26
 LEAF = 16
 
 
-def shingles(words: Words, row: int, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes of a row; fewer words make one shingle."""
-    h = words.hash[words.first[row] : words.first[row + 1]]
-    return np.unique(window_hash(h, min(k, len(h)))) if len(h) else np.zeros(0, np.uint64)
-
-
-def signature(s: np.ndarray) -> int:
-    """A 64-bit hash of a set; with its size it names the node."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+#: Bytes of text that are turned into sets at once, so that the arrays stay in the cache; a longer text stands alone.
+PIECE = 1 << 18
+
+
+class Sets:
+    """Shingle sets of rows: `items` has the sorted distinct hashes of row i at at[i]..at[i+1]; fewer words than k make one shingle."""
+
+    def __init__(self, words: Words, k: int = WORDS):
+        first, h = words.first, words.hash
+        many = np.diff(first)
+        number = np.where(many > 0, np.maximum(1, many - k + 1), 0)
+        at = np.append(0, np.cumsum(number))
+        items = np.zeros(at[-1], np.uint64)
+        whole = window_hash(h, k)
+        inside = np.repeat(first[:-1] - at[:-1], number) + np.arange(len(items))  # the first word of every shingle
+        long = np.repeat(many >= k, number)
+        items[long] = whole[inside[long]]
+        for r in np.flatnonzero((many > 0) & (many < k)).tolist():
+            items[at[r]] = window_hash(h[first[r] : first[r + 1]], int(many[r]))[0]
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            items[x:y].sort()
+        keep = np.append(True, items[1:] != items[:-1])[: len(items)]
+        keep[at[:-1][number > 0]] = True
+        self.items, self.at = items[keep], np.append(0, np.cumsum(keep))[at]
+        self.n = np.diff(self.at)
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+
+    def signatures(self) -> np.ndarray:
+        """A 64-bit hash of each set; with its size it names the node. Of no meaning where n is 0."""
+        each = np.append(np.uint64(0), np.cumsum(mix(self.items ^ np.uint64(0x5851F42D4C957F2D))))
+        return mix(each[self.at[1:]] - each[self.at[:-1]] + self.n.astype(np.uint64)).view(np.int64)
+
+    def groups(self) -> np.ndarray:
+        """The hash that deals shingles into groups."""
+        return (mix(self.items) >> np.uint64(40)).astype(np.int64)
+
+    def packed(self, groups: np.ndarray) -> np.ndarray:
+        """Each count vector in one long: 8 coordinates of 8 bits, rounded up in units that follow from the size."""
+        c = np.bincount(self.row * DIMS + groups % DIMS, minlength=len(self.n) * DIMS).reshape(-1, DIMS)
+        return np.ascontiguousarray((-(-c // _unit(self.n)[:, None])).astype(np.uint8)).view(np.int64).ravel()
+
+    def fine(self, groups: np.ndarray) -> pa.Array:
+        """Finer count vectors: a power of two of groups, eight shingles to a group and 64 groups at least. Vectors of different lengths fold onto the shorter."""
+        dims = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(1, self.n) / 512))).astype(np.int64)
+        base = np.append(0, np.cumsum(dims))
+        c = np.bincount(base[self.row] + (groups & (dims[self.row] - 1)), minlength=base[-1])
+        data = np.minimum(c, 65535).astype(np.uint16).tobytes()
+        return pa.Array.from_buffers(pa.large_binary(), len(dims), [None, pa.py_buffer((2 * base).astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+
+    def prefixes(self, last: np.ndarray, percent: int) -> pa.Array:
+        """The first n - ceil(percent n) + 1 shingles of each set, by hash, those in `last` behind all others."""
+        late = np.zeros(len(self.items), bool)
+        if len(last):
+            late = last[np.minimum(np.searchsorted(last, self.items), len(last) - 1)] == self.items
+        before = np.append(0, np.cumsum(late))
+        mine = before[:-1] - before[self.at[:-1]][self.row]  # late ones before it in its row
+        early = self.n - np.diff(before[self.at])
+        place = np.where(late, early[self.row] + mine, np.arange(len(late)) - self.at[:-1][self.row] - mine)
+        keep = place < (self.n - -(-percent * self.n // 100) + 1)[self.row]
+        offsets = np.append(0, np.cumsum(keep))[self.at]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(self.items[keep].view(np.int64)))
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -53,23 +105,6 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.n
     return -(-percent * (n + m) // (100 + percent))
 
 
-def counts(s: np.ndarray, dims: int) -> np.ndarray:
-    return np.bincount((mix(s) >> np.uint64(40)).astype(np.int64) % dims, minlength=dims)
-
-
-def packed(s: np.ndarray) -> int:
-    """The count vector in one long: 8 coordinates of 8 bits, rounded up in units that follow from the size."""
-    unit = _unit(np.array([len(s)]))[0]
-    q = -(-counts(s, DIMS) // unit)
-    return int(np.array([int.from_bytes(bytes(q.astype(np.uint8).tolist()), "little")], np.uint64).view(np.int64)[0])
-
-
-def fine_counts(s: np.ndarray) -> bytes:
-    """Finer count vector: a power of two of groups, eight shingles to a group and 64 groups at least. Vectors of different lengths fold onto the shorter."""
-    dims = 64 if len(s) <= 512 else 1 << (len(s) // 8 - 1).bit_length()
-    return np.minimum(counts(s, dims), 65535).astype(np.uint16).tobytes()
-
-
 def fine_bound(x: bytes, y: bytes) -> int:
     """An upper bound of the overlap of two sets from their finer vectors."""
     x, y = (np.frombuffer(v, np.uint16).astype(np.int64) for v in (x, y))
@@ -133,13 +168,10 @@ def _children(a: np.ndarray, b: np.ndarray, below: int) -> tuple[np.ndarray, np.
     return i[ok], j[ok]
 
 
-def _rows(batch, text_col):
-    """(row, sorted set) of every row of a batch, a bounded piece at a time."""
-    column = batch.column(text_col)
-    for lo, hi in pieces(column):
-        words = Words(column.slice(lo, hi - lo), NONSPACE)
-        for r in range(hi - lo):
-            yield lo + r, shingles(words, r)
+def _sets(column):
+    """(first row, Sets) of the rows of a column, a bounded piece at a time."""
+    for lo, hi in pieces(column, PIECE):
+        yield lo, Sets(Words(column.slice(lo, hi - lo), NONSPACE))
 
 
 def frequent(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -149,13 +181,15 @@ def frequent(docs: DataFrame, text_col: str) -> np.ndarray:
         held, size = [], 0
 
         def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"h": pa.array(h[n >= 8].view(np.int64)), "n": pa.array(n[n >= 8].astype(np.int64))})
+            h = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            n = np.diff(np.append(at, len(h)))
+            return pa.RecordBatch.from_pydict({"h": pa.array(h[at[n >= 8]].view(np.int64)), "n": pa.array(n[n >= 8].astype(np.int64))})
 
         for batch in batches:
-            for _, s in _rows(batch, text_col):
-                held.append(s)
-                size += len(s)
+            for _, s in _sets(batch.column(text_col)):
+                held.append(s.items)
+                size += len(s.items)
                 if size >= 3_000_000:
                     yield flush()
                     held, size = [], 0
@@ -169,98 +203,120 @@ def frequent(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, last: np.ndarray, percent: int) -> DataFrame:
-    """id, n, sig, vec, fine and tokens (the prefix) of every row."""
+    """id, n, sig, vec, fine and tokens (the prefix) of every row; sig, vec and fine are null without words."""
     order = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
-        late = order.value
         for batch in batches:
-            n, sig, vec, fine, tokens = [], [], [], [], []
-            for _, s in _rows(batch, text_col):
-                n.append(len(s))
-                sig.append(signature(s) if len(s) else None)
-                vec.append(packed(s) if len(s) else None)
-                fine.append(fine_counts(s) if len(s) else None)
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                    s = s[np.argsort(late[at] == s, kind="stable")]
-                tokens.append(s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(vec, pa.int64()), pa.array(fine, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["id", "n", "sig", "vec", "fine", "tokens"],
-            )
+            ids = batch.column(id_col).cast(pa.int64())
+            for lo, s in _sets(batch.column(text_col)):
+                none, groups = pa.array(s.n == 0), s.groups()
+                cols = [pa.array(s.signatures()), pa.array(s.packed(groups)), s.fine(groups)]
+                cols = [pc.if_else(none, pa.scalar(None, c.type), c) for c in cols]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(s.n)), pa.array(s.n, pa.int64()), *cols, s.prefixes(order.value, percent)], names=["id", "n", "sig", "vec", "fine", "tokens"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, sig long, vec long, fine binary, tokens array<long>")
 
 
-def _runs(batches, names: tuple):
-    """Column arrays of whole runs of equal tokens, several runs at a time, from rows sorted by token."""
+def _runs(batches, names: tuple, least: int = 500_000):
+    """Column arrays of whole runs of equal values in the first column, `least` rows or more at a time, from rows sorted by it."""
     held: list[list[np.ndarray]] = []
+    size = 0
     for batch in batches:
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if not len(cols[0]):
+        held.append(cols)
+        size += len(cols[0])
+        if size < least:
             continue
+        cols = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
         edge = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
-        if edge or (held and held[-1][0][-1] != cols[0][0]):
-            done = [*held, [c[:edge] for c in cols]]
-            yield [np.concatenate([d[i] for d in done]) for i in range(len(names))]
-            held = []
-        held.append([c[edge:] for c in cols])
+        if edge:
+            yield [c[:edge] for c in cols]
+        held = [[c[edge:] for c in cols]]
+        size = 0  # a run longer than `least` is joined again only after as many more rows
     if held:
-        yield [np.concatenate([d[i] for d in held]) for i in range(len(names))]
+        cols = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
+        if len(cols[0]):
+            yield cols
 
 
 def cells(nodes: DataFrame) -> DataFrame:
-    """token and sig of all cells with two nodes or more."""
+    """cell and sig of all cells with two nodes or more. Shingles whose cells have the same nodes are one cell, named by a hash of these nodes."""
 
     def run(batches):
         for token, sig in _runs(batches, ("token", "sig")):
             new = token[1:] != token[:-1]
             many = ~(np.append(True, new) & np.append(new, True))
-            if many.any():
-                yield pa.RecordBatch.from_pydict({"token": token[many], "sig": sig[many]})
+            token, sig = token[many], sig[many]
+            if not len(token):
+                continue
+            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            size = np.diff(np.append(start, len(token)))
+            name = mix(np.add.reduceat(mix(sig.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)), start) + size.astype(np.uint64)).view(np.int64)
+            kept = np.zeros(len(start), bool)
+            kept[np.unique(name, return_index=True)[1]] = True
+            kept = np.repeat(kept, size)
+            yield pa.RecordBatch.from_pydict({"cell": np.repeat(name, size)[kept], "sig": sig[kept]})
 
     each = nodes.select(F.explode("tokens").alias("token"), "sig")
-    return each.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, sig long")
-
-
-def _star(n, vec, sig, label, token, start, percent, seed):
-    """Pairs of each cell's nodes with its leader, the first in a seeded order of nodes."""
-    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token))))
-    order = np.lexsort((mix(sig.view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)), group))
-    lead = order[start][group]
-    p = points(n, vec)
-    keep = (label != label[lead]) & (100 * np.minimum(n, n[lead]) >= percent * np.maximum(n, n[lead]))
-    keep &= np.minimum(p[:, 1:], p[lead, 1:]).sum(axis=1) >= overlap_needed(n, n[lead], percent)
-    return np.stack([sig[keep], sig[lead[keep]]], axis=1)
+    return each.repartition("token").sortWithinPartitions("token").mapInArrow(run, "cell long, sig long").distinct()
+
+
+def _leaders(n, vec, sig, cell, start, percent):
+    """Pairs of each cell's nodes with its leaders, the first nodes in STARS seeded orders."""
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(cell))))
+    p, found = points(n, vec), []
+    for seed in range(STARS):
+        rank = mix(sig.view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+        least = np.minimum.reduceat(rank, start)
+        at = np.flatnonzero(rank == least[group])
+        lead = at[np.searchsorted(group[at], np.arange(len(start)))][group]
+        keep = (sig != sig[lead]) & (100 * np.minimum(n, n[lead]) >= percent * np.maximum(n, n[lead]))
+        i = np.flatnonzero(keep)
+        i = i[np.minimum(p[i, 1:], p[lead[i], 1:]).sum(axis=1) >= overlap_needed(n[i], n[lead[i]], percent)]
+        found.append(np.stack([sig[i], sig[lead[i]]], axis=1))
+    return np.concatenate(found)
 
 
-def _trees(n, vec, sig, label, token, start, percent):
-    """Pairs of nodes of different components that pass their cell's R-tree."""
+def _trees(n, vec, sig, label, start, percent):
+    """Pairs of nodes of different components that pass their cell's R-tree. The trees of one leaf are joined all at once."""
     p, found = points(n, vec), [np.zeros((0, 2), np.int64)]
-    for x, y in zip(start.tolist(), [*start[1:].tolist(), len(token)], strict=True):
-        if (label[x:y] != label[x]).any():
-            found.append(sig[x:y][tree_join(p[x:y], label[x:y], percent)])
+    end = np.append(start[1:], len(sig))
+    mixed = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+    for x, y in zip(start[mixed & (end - start > LEAF)].tolist(), end[mixed & (end - start > LEAF)].tolist(), strict=True):
+        found.append(sig[x:y][tree_join(p[x:y], label[x:y], percent)])
+    one, upto = start[mixed & (end - start <= LEAF)], end[mixed & (end - start <= LEAF)]
+    for apart in range(1, LEAF):
+        more = np.maximum(0, upto - one - apart)
+        i = np.repeat(one - np.append(0, np.cumsum(more))[:-1], more) + np.arange(more.sum())
+        j = i + apart
+        near = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[near], j[near]
+        near = np.minimum(p[i, 1:], p[j, 1:]).sum(axis=1) >= overlap_needed(n[i], n[j], percent)
+        found.append(np.stack([sig[i[near]], sig[j[near]]], axis=1))
     return np.concatenate(found)
 
 
-def _meet(cell_rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int, star: int | None) -> DataFrame:
-    """Pairs a < b of nodes of different components that meet in a cell: with its leader of round `star`, or all that pass its R-tree."""
+def _meet(cell_rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs a < b of nodes that meet in a cell: with its leaders, or given labels, all of different components that pass its R-tree."""
+    stars = labels is None
 
     def run(batches):
-        for token, sig, n, vec, label in _runs(batches, ("token", "sig", "n", "vec", "label")):
-            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            pairs = _trees(n, vec, sig, label, token, start, percent) if star is None else _star(n, vec, sig, label, token, start, percent, star)
+        for cell, sig, n, vec, label in _runs(batches, ("cell", "sig", "n", "vec", "label")):
+            start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            pairs = _leaders(n, vec, sig, cell, start, percent) if stars else _trees(n, vec, sig, label, start, percent)
             if len(pairs):
-                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                pairs = np.sort(pairs, axis=1)
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
                 yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     known = nodes.select("sig", "n", "vec")
     if labels is not None:
         known = known.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
     known = known.withColumn("label", F.coalesce("label", "sig") if labels is not None else F.col("sig"))
-    each = cell_rows.join(known, "sig").select("token", "sig", "n", "vec", "label")
-    return each.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+    each = cell_rows.join(known, "sig").select("cell", "sig", "n", "vec", "label")
+    return each.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -277,11 +333,12 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int) -> DataFrame:
-    """Pairs that reach the similarity on their whole sets. The texts are read again; only nodes that pass a filter of the pairs' nodes leave the scan."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "jaccard-wanted")
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Pairs that reach the similarity on their whole sets. The texts are read again: only rows whose id passes a filter of the pairs' nodes, each named by its least id, are turned into sets. Rows without an id pass."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "rep"), "sig"), "jaccard-wanted")
     bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * wanted.count()).bit_length()))
-    words = wanted.select(F.pmod("sig", F.lit(bits)).alias("bit")).groupBy((F.col("bit") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")).toArrow()
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = wanted.filter("rep is not null").select(bit("rep").alias("bit")).groupBy((F.col("bit") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")).toArrow()
     have = np.zeros(bits // 64, np.int64)  # at most FILTER_BITS / 8 bytes
     have[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     passes = docs.sparkSession.sparkContext.broadcast(np.unpackbits(have.view(np.uint8), bitorder="little"))
@@ -289,11 +346,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int) ->
     def read(batches):
         have = passes.value
         for batch in batches:
-            seen: dict[int, bytes] = {}
-            for _, s in _rows(batch, text_col):
-                if len(s) and have[(sig := signature(s)) % bits]:
-                    seen[sig] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())], names=["sig", "items"])
+            at = batch.column("bit").fill_null(-1).to_numpy(zero_copy_only=False)
+            text = batch.column(text_col).filter(pa.array((at < 0) | (have[at] > 0)))
+            for _, s in _sets(text):
+                sig = s.signatures()
+                some = np.flatnonzero(s.n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array([s.items[s.at[r] : s.at[r + 1]].tobytes() for r in some.tolist()], pa.binary())], names=["sig", "items"])
 
     def check(batches):
         for batch in batches:
@@ -304,7 +362,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int) ->
                 ok.append(100 * i >= percent * (len(x) + len(y) - i))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in "ab"], names=["a", "b"])
 
-    whole = docs.select(text_col).mapInArrow(read, "sig long, items binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+    # an id of another type than long is cast like the node's
+    known = F.col(id_col).cast("long")
+    whole = docs.select(F.when(known.isNotNull(), bit(known)).alias("bit"), text_col).mapInArrow(read, "sig long, items binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
     whole = written(whole, "jaccard-sets")
     both = pairs.join(whole.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a").join(whole.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
     out = written(both.mapInArrow(check, "a long, b long"), "jaccard-links")
@@ -342,7 +402,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     all_sets = written(sets(docs, id_col, text_col, frequent(docs, text_col), percent), "jaccard-all")
     members = written(all_sets.select("id", "n", "sig"), "jaccard-members")
-    nodes = written(all_sets.filter("n > 0").groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "vec", "fine", "tokens"))), "jaccard-nodes")
+    nodes = written(all_sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "vec", "fine", "tokens"))), "jaccard-nodes")
     discard(all_sets)
     release(spark)
     shared = written(cells(nodes), "jaccard-cells")
@@ -350,12 +410,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     discard(nodes)
     release(spark)
     links, tried, labels = None, None, None
-    for star in [*range(STARS), None]:
-        pairs = _bounded(_meet(shared, points_, labels, percent, star), points_, percent)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    for _ in ("leaders", "trees"):
+        pairs = _bounded(_meet(shared, points_, labels, percent), points_, percent)
+        tried = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         release(spark)
-        found = _verified(pairs, docs, text_col, percent)
+        found = _verified(tried, points_, docs, id_col, text_col, percent)
         release(spark)
         if links is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)

@@ -27,7 +27,9 @@ from .common import discard, release, table, written
 WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-DIMS = 8
+DIMS = 32
+#: A node's count vector as longs, 8 coordinates of 8 bits each.
+VECS = [f"vec{i}" for i in range(DIMS // 8)]
 #: Leaders that a cell pairs its nodes with before all pairs that are left.
 STARS = 2
 #: A shingle in this share of all documents, and in 64 at least, comes last in the order; so few shingles are that frequent that their list stays bounded.
@@ -74,9 +76,10 @@ class Sets:
         return (mix(self.items) >> np.uint64(40)).astype(np.int64)
 
     def packed(self, groups: np.ndarray) -> np.ndarray:
-        """Each count vector in one long: 8 coordinates of 8 bits, rounded up in units that follow from the size."""
+        """(longs, rows): coordinates of 8 bits, rounded up in units that follow from the size; 255 stands for the whole size."""
         c = np.bincount(self.row * DIMS + groups % DIMS, minlength=len(self.n) * DIMS).reshape(-1, DIMS)
-        return np.ascontiguousarray((-(-c // _unit(self.n)[:, None])).astype(np.uint8)).view(np.int64).ravel()
+        q = np.minimum(255, -(-c // _unit(self.n)[:, None])).astype(np.uint8)
+        return np.ascontiguousarray(np.ascontiguousarray(q).view(np.int64).T)
 
     def fine(self, groups: np.ndarray) -> pa.Array:
         """Finer count vectors: a power of two of groups, eight shingles to a group and 64 groups at least. Vectors of different lengths fold onto the shorter."""
@@ -115,13 +118,14 @@ def fine_bound(x: bytes, y: bytes) -> int:
 
 
 def _unit(n: np.ndarray) -> np.ndarray:
-    return np.left_shift(1, np.maximum(0, np.ceil(np.log2(n + 1)).astype(np.int64) - 7))
+    """A power of two that keeps the mean count at 64 units at most."""
+    return np.left_shift(1, np.maximum(0, np.ceil(np.log2((n + 1) / DIMS)).astype(np.int64) - 6))
 
 
-def points(n: np.ndarray, vec: np.ndarray) -> np.ndarray:
+def points(n: np.ndarray, vecs: list[np.ndarray]) -> np.ndarray:
     """(m, 1 + DIMS): size and coordinates that are no smaller than the counts."""
-    q = np.ascontiguousarray(vec).view(np.uint8).reshape(-1, 8).astype(np.int64)
-    return np.concatenate([n[:, None], q * _unit(n)[:, None]], axis=1)
+    q = np.stack(vecs, axis=1).view(np.uint8).reshape(-1, DIMS).astype(np.int64)
+    return np.concatenate([n[:, None], np.where(q == 255, n[:, None], q * _unit(n)[:, None])], axis=1)
 
 
 def tree_join(p: np.ndarray, label: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -203,7 +207,7 @@ def frequent(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, last: np.ndarray, percent: int) -> DataFrame:
-    """id, n, sig, vec, fine and tokens (the prefix) of every row; sig, vec and fine are null without words."""
+    """id, n, sig, the count vectors and tokens (the prefix) of every row; sig and vectors are null without words."""
     order = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
@@ -211,11 +215,11 @@ def sets(docs: DataFrame, id_col: str, text_col: str, last: np.ndarray, percent:
             ids = batch.column(id_col).cast(pa.int64())
             for lo, s in _sets(batch.column(text_col)):
                 none, groups = pa.array(s.n == 0), s.groups()
-                cols = [pa.array(s.signatures()), pa.array(s.packed(groups)), s.fine(groups)]
+                cols = [pa.array(s.signatures()), *map(pa.array, s.packed(groups)), s.fine(groups)]
                 cols = [pc.if_else(none, pa.scalar(None, c.type), c) for c in cols]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(s.n)), pa.array(s.n, pa.int64()), *cols, s.prefixes(order.value, percent)], names=["id", "n", "sig", "vec", "fine", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(s.n)), pa.array(s.n, pa.int64()), *cols, s.prefixes(order.value, percent)], names=["id", "n", "sig", *VECS, "fine", "tokens"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, sig long, vec long, fine binary, tokens array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id long, n long, sig long, {' long, '.join(VECS)} long, fine binary, tokens array<long>")
 
 
 def _runs(batches, names: tuple, least: int = 500_000):
@@ -262,10 +266,10 @@ def cells(nodes: DataFrame) -> DataFrame:
     return each.repartition("token").sortWithinPartitions("token").mapInArrow(run, "cell long, sig long").distinct()
 
 
-def _leaders(n, vec, sig, cell, start, percent):
+def _leaders(n, vecs, sig, cell, start, percent):
     """Pairs of each cell's nodes with its leaders, the first nodes in STARS seeded orders."""
     group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(cell))))
-    p, found = points(n, vec), []
+    p, found = points(n, vecs), []
     for seed in range(STARS):
         rank = mix(sig.view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
         least = np.minimum.reduceat(rank, start)
@@ -278,9 +282,9 @@ def _leaders(n, vec, sig, cell, start, percent):
     return np.concatenate(found)
 
 
-def _trees(n, vec, sig, label, start, percent):
+def _trees(n, vecs, sig, label, start, percent):
     """Pairs of nodes of different components that pass their cell's R-tree. The trees of one leaf are joined all at once."""
-    p, found = points(n, vec), [np.zeros((0, 2), np.int64)]
+    p, found = points(n, vecs), [np.zeros((0, 2), np.int64)]
     end = np.append(start[1:], len(sig))
     mixed = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
     for x, y in zip(start[mixed & (end - start > LEAF)].tolist(), end[mixed & (end - start > LEAF)].tolist(), strict=True):
@@ -302,20 +306,20 @@ def _meet(cell_rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, perc
     stars = labels is None
 
     def run(batches):
-        for cell, sig, n, vec, label in _runs(batches, ("cell", "sig", "n", "vec", "label")):
+        for cell, sig, n, label, *vecs in _runs(batches, ("cell", "sig", "n", "label", *VECS)):
             start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            pairs = _leaders(n, vec, sig, cell, start, percent) if stars else _trees(n, vec, sig, label, start, percent)
+            pairs = _leaders(n, vecs, sig, cell, start, percent) if stars else _trees(n, vecs, sig, label, start, percent)
             if len(pairs):
                 pairs = np.sort(pairs, axis=1)
                 pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
                 pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
                 yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    known = nodes.select("sig", "n", "vec")
+    known = nodes.select("sig", "n", *VECS)
     if labels is not None:
         known = known.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
     known = known.withColumn("label", F.coalesce("label", "sig") if labels is not None else F.col("sig"))
-    each = cell_rows.join(known, "sig").select("cell", "sig", "n", "vec", "label")
+    each = cell_rows.join(known, "sig").select("cell", "sig", "n", "label", *VECS)
     return each.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -402,7 +406,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     all_sets = written(sets(docs, id_col, text_col, frequent(docs, text_col), percent), "jaccard-all")
     members = written(all_sets.select("id", "n", "sig"), "jaccard-members")
-    nodes = written(all_sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "vec", "fine", "tokens"))), "jaccard-nodes")
+    nodes = written(all_sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *VECS, "fine", "tokens"))), "jaccard-nodes")
     discard(all_sets)
     release(spark)
     shared = written(cells(nodes), "jaccard-cells")

@@ -14,7 +14,7 @@ from driftwright.llm.common import table, written
 
 #: A language prediction below this is no better than a guess among a few languages.
 LEAST_SCORE = 0.3
-#: Dropped ids are broadcast up to this number (16 MB or so), and joined by a shuffle beyond it.
+#: Keys of dropped rows are broadcast up to this number (16 MB or so), and joined by a shuffle beyond it.
 MOST_BROADCAST = 1_000_000
 
 
@@ -34,10 +34,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id. Rows without an id, and without words, stay."""
-    found = jaccard.near_duplicates(docs)
-    dropped = written(found.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that of the smallest id, rows without an id last, of equal ids the first. Rows without words stay."""
+    keyed = written(_held(docs, F.monotonically_increasing_id().alias("key")), "keyed")  # written, so that every reading finds the same keys
+    found = written(jaccard.near_duplicates(keyed, id_col="key").filter("n_shingles > 0").select("key", "component_id"), "groups")
+    ids = keyed.select("key", F.col("held.doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = found.join(ids, "key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.key")
+    dropped = written(found.select("key").join(first, "key", "left_anti"), "dropped")
+    out = keyed.join(F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped, "key", "left_anti")
+    return _released(out, docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

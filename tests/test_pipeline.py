@@ -1,0 +1,42 @@
+"""Stages of the corpus pipeline against plain Python: null ids, repeated rows, clashing columns."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from driftwright.llm import jaccard
+
+r = random.Random(11)
+WORDS = ["".join(r.choices("abcdefghij", k=r.randrange(3, 9))) for _ in range(300)]
+A, B, C, D = (" ".join(r.choices(WORDS, k=60)) for _ in range(4))
+
+
+def one_of_each(rows):
+    """Rows (doc_id, text, ...) without near duplicates: of each class the least id, nulls last; rows without words stay."""
+    classes = {}
+    for i, (n, root) in jaccard.brute_force([(i, x[1]) for i, x in enumerate(rows)]).items():
+        classes.setdefault(root if n else -1 - i, []).append(rows[i])
+    return sorted((min(c, key=lambda x: (x[0] is None, x[0] or 0)) for c in classes.values()), key=str)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, A), (1, A), (1, A), (2, B), (2, B)],  # repeated rows of a kept id
+        [(None, A), (None, A), (None, A + " end"), (None, B), (7, B), (None, None), (None, None)],  # null ids
+        [(1, A), (5, A), (5, B), (9, B)],  # one id, two texts
+        [(1, A), (5, A), (5, B), (None, C), (None, C), (4, C), (8, D), (8, D + " end"), (3, None), (3, ""), (3, " ")],
+        [(1, A), (2, B), (3, C)],
+    ],
+)
+def test_near_duplicates_leave_one_row_of_each_class(spark, rows):
+    rows = [(*x, "clash", "clash") for x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, component_id string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    got = [tuple(x) for x in got.collect()]
+    want = one_of_each(rows)
+    ids = [(x[0], (x[1] or "").removesuffix(" end")) for x in want]  # of equal ids any may stay
+    assert sorted(((x[0], (x[1] or "").removesuffix(" end")) for x in got), key=str) == sorted(ids, key=str)
+    assert all(x in rows for x in got)

@@ -1,7 +1,7 @@
 """Secret scan: base patterns, then assignment-aware lexing.
 
-The lexer reads source and configuration syntax (name = "literal", name: literal, "name" => ...)
-into name-literal pairs, propagates constants (password = KEY where KEY = "..." came before or
+The lexer reads source and configuration syntax (name = "literal", name: literal, "name" => ...,
+name: type = "literal"), also inside of values, into name-literal pairs, propagates constants (password = KEY where KEY = "..." came before or
 after) and scores a literal by how sensitive its target's name is. Literals that score high add
 spans of kind "lexed" unless a base span covers them. Each text is read whole, by its own task row.
 """
@@ -22,7 +22,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "lexed")
 
-PAIR = re.compile(r"([A-Za-z_$][\w.$-]*)[\"'\]]{0,2}[ \t]{0,8}(?::=|=>|==?|:)[ \t]{0,8}(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`|([^\s\"'`,;(){}\[\]]+))", re.A)
+NAME = re.compile(r"[A-Za-z_$][\w.$-]*+", re.A)
+VALUE = r"(?:\"(?P<double>[^\"\n]*+)\"|'(?P<single>[^'\n]*+)'|`(?P<back>[^`\n]*+)`|(?P<bare>[^\s\"'`,;(){}\[\]]))"
+#: What follows a name: an operator and a value, of which a bare one is only begun.
+PAIR = re.compile(r"[\"'\]]{0,2}[ \t]{0,8}(?P<op>:=|=>|==?|:)[ \t]{0,8}" + VALUE, re.A)
+#: Types that no literal is mistaken for, and what may stand around a type's name.
+TYPE = r"(?:string|str|text|bytes?|char|rune|varchar|nvarchar|any|object|unknown|var|auto|int|long|number|boolean|bool|final|readonly|String|Str|SecretStr|CharSequence|Any|Object|Optional|Option|Final|ClassVar|Union|Vec|List|Array|i8|u8|i32|u32|i64|u64)"
+MARKS = r"(?:[&*?!]|\[\d*\]|'\w++[ \t]|(?:readonly|const|mut|dyn|static)[ \t])*+"
+BEHIND = r"(?:\(\d+\)|[<\[][\w.$<>\[\], \t|&?*]*+)?+[?!*]?(?:[ \t]*+\|[ \t]*+[\w.$\[\]]++)*+"
+#: The same with a type between name and operator: name: type = value, name type = value, name[8] = value.
+DECLARED = re.compile(
+    rf"[\"'\]]{{0,2}}(?:(?P<colon>[?!]?:)?(?P<blank>[ \t]{{0,8}})(?P<type>{MARKS}(?P<head>(?:\w++(?:\.|::))*+[A-Za-z_$][\w$]*+){BEHIND})|(?P<bounds>\[\d*\]))[ \t]{{0,8}}(?P<op>:?=)(?![=>])[ \t]{{0,8}}" + VALUE, re.A
+)
+KNOWN = re.compile(rf"(?:\w+(?:\.|::))*{TYPE}", re.A)
+BARE = re.compile(r"[^\s\"'`,;(){}\[\]]++")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*", re.A)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How sensitive a part of a target's name is.
@@ -44,33 +57,78 @@ def name_score(name: str) -> float:
     return sum(WEIGHTS.get(p, 0) for p in dict.fromkeys(parts)) + (2 if "apikey" in "".join(parts) else 0)
 
 
-def lex(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) of every assignment; offsets are of the literal, in code points."""
+def _declared(text: str, at: int) -> tuple[re.Match, bool] | None:
+    """A type and a value behind the name that ends at `at`, and whether the type can be nothing but a type."""
+    m = DECLARED.match(text, at)
+    if m is None or m["bounds"]:
+        return m and (m, True)
+    known = bool(KNOWN.fullmatch(m["head"])) or m["type"] != m["head"]
+    if not m["colon"] and not (m["blank"] and KNOWN.fullmatch(m["head"])):
+        return None  # two words side by side
+    return m, known
+
+
+def _assignments(text: str) -> list[tuple[str, int, int, bool]]:
+    """(name, start, end, quoted) of every assignment's literal, which is not copied: bare ones may overlap at length.
+
+    Every word is tried as a name, also those inside another's value, so that a label takes nothing
+    from the assignment behind it. A type between name and operator is passed over.
+    """
     out = []
-    for m in PAIR.finditer(text):
-        group = next(g for g in (2, 3, 4, 5) if m[g] is not None)
-        out.append((m[1], m[group], *m.span(group), group != 5))
+    typed = quote = begun = run = compared = -1  # ends of the last type and outer quoted value; the last bare run; start of a value that is compared
+
+    def add(name, m):
+        nonlocal quote, begun, run, compared
+        if m.lastgroup == "bare":
+            a = m.start("bare")
+            if not begun <= a < run:
+                begun, run = BARE.match(text, a).span()
+            b = run
+        else:
+            a, b = m.span(m.lastgroup)
+            quote = b if a > quote else quote
+        compared = a if m["op"] == "==" else compared
+        out.append((name, a, b, m.lastgroup != "bare"))
+
+    for word in NAME.finditer(text):
+        if word.start() < typed:
+            continue
+        declared = _declared(text, word.end())
+        if declared and not (word.start() < quote <= declared[0].start("op")):
+            add(word[0], declared[0])
+            if declared[1]:
+                typed = max(declared[0].end("type"), typed)
+                continue
+        m = PAIR.match(text, word.end())
+        if m and not (word.start() < quote <= m.start("op")) and not (word.start() == compared and m["op"] == ":"):
+            add(word[0], m)
     return out
 
 
+def lex(text: str) -> list[tuple[str, str, int, int, bool]]:
+    """(name, literal, start, end, quoted) of every assignment; offsets are of the literal, in code points."""
+    return [(name, text[a:b], a, b, quoted) for name, a, b, quoted in _assignments(text)]
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
-    pairs = lex(text)
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    for name, literal, a, b, quoted in pairs:
-        if quoted or not IDENTIFIER.fullmatch(literal):
-            constants.setdefault(name, []).append((literal, a, b))
-    alias = {name: literal for name, literal, _, _, quoted in pairs if not quoted and IDENTIFIER.fullmatch(literal)}
+    pairs = [(name, a, b, not quoted and IDENTIFIER.fullmatch(text, a, b)) for name, a, b, quoted in _assignments(text)]
+    constants: dict[str, list[tuple[int, int]]] = {}
+    for name, a, b, named in pairs:
+        if not named:
+            constants.setdefault(name, []).append((a, b))
+    alias = {name: text[a:b] for name, a, b, named in pairs if named}
     found = set()
-    for name, literal, a, b, quoted in pairs:
+    for name, a, b, named in pairs:
         if name_score(name) < LEAST_SCORE:
             continue
-        values, target, seen = [(literal, a, b)], literal, set()
-        if not quoted and IDENTIFIER.fullmatch(literal):
+        values, seen = [(a, b)], set()
+        if named:
+            target = text[a:b]
             while target in alias and target not in constants and target not in seen:  # through names that name names
                 seen.add(target)
                 target = alias[target]
             values = constants.get(target, values)
-        found |= {(x, y) for v, x, y in values if len(v) >= LEAST_LENGTH and not PLACEHOLDER.match(v) and entropy(v) >= LEAST_ENTROPY}
+        found |= {(x, y) for x, y in values if y - x >= LEAST_LENGTH and not PLACEHOLDER.match(v := text[x:y]) and entropy(v) >= LEAST_ENTROPY}
     return sorted(found)
 
 

@@ -134,6 +134,34 @@ def test_secrets():
     assert secrets.scan(None) == [] and secrets.scan("token: ab") == [] and secrets.scan("toſen=abcdefgh") == []
 
 
+@pytest.mark.parametrize(
+    "text, literal",
+    [
+        ("Note: db_pwd=Zx81Qp77Lm", "Zx81Qp77Lm"),
+        ('Note: db_pwd = "Zx81-Qp77-Lm"', "Zx81-Qp77-Lm"),
+        ("Note: env: a=db_pwd=Zx81Qp77Lm==", "Zx81Qp77Lm=="),
+        ('env: "DB_PWD=Zx81Qp77Lm"', "Zx81Qp77Lm"),
+        ("url: http://h/?db_pwd=Zx81Qp77Lm", "Zx81Qp77Lm"),
+        ('const dbPwd: string = "Zx81-Qp77-Lm"', "Zx81-Qp77-Lm"),
+        ('dbPwd?: string | null = "Zx81-Qp77-Lm"', "Zx81-Qp77-Lm"),
+        ('db_pwd: Optional[str] = "Zx81-Qp77-Lm"', "Zx81-Qp77-Lm"),
+        ('static DB_PWD: &\'static str = "Zx81-Qp77-Lm";', "Zx81-Qp77-Lm"),
+        ('var dbPwd string = "Zx81-Qp77-Lm"', "Zx81-Qp77-Lm"),
+        ('char db_pwd[16] = "Zx81-Qp77-Lm";', "Zx81-Qp77-Lm"),
+        ('let dbPwd: string = KEY; const KEY: string = "Zx81-Qp77-Lm"', "Zx81-Qp77-Lm"),
+    ],
+)
+def test_secrets_behind_labels_and_types(text, literal):
+    assert [text[a:b] for kind, a, b in secrets.scan(text) if kind == "lexed"] == [literal]
+
+
+def test_secrets_lex_no_more_than_assignments():
+    assert secrets.scan('if key == "db_pwd": return value') == [] and secrets.scan("if key == db_pwd: return value") == []
+    assert secrets.lexed_spans("db_pwd: Zx81Qp77Lm = foo") == [(8, 18)]
+    assert secrets.scan('a: str = "plain words"\nlogin_pwd: str\n') == []
+    assert len(secrets.lex("a=" * 20_000)) == 19_999
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "http://A.example.net/en/x?q"), (2, "https://x.net"), (3, "http://sub.example.com/de/1#t"), (4, "ftp://z.org/fr/"), (5, None), (6, "nothing"), (7, "http://m.bad.io/p/"), (7, "http://m.bad.io/p/"), (8, "http://example.netx/en/")], "page_id long, url string")
     listed = spark.createDataFrame([("bad.io/p",), ("bad.io/p",), (None,)], "c string")

@@ -25,14 +25,14 @@ KINDS = ("assign", "access", "hex", "lexed")
 NAME = re.compile(r"[A-Za-z_$][\w.$-]*+", re.A)
 VALUE = r"(?:\"(?P<double>[^\"\n]*+)\"|'(?P<single>[^'\n]*+)'|`(?P<back>[^`\n]*+)`|(?P<bare>[^\s\"'`,;(){}\[\]]))"
 #: What follows a name: an operator and a value, of which a bare one is only begun.
-PAIR = re.compile(r"[\"'\]]{0,2}[ \t]{0,8}(?P<op>:=|=>|==?|:)[ \t]{0,8}" + VALUE, re.A)
+PAIR = re.compile(r"[\"'\]]{0,2}[ \t]*+(?P<op>:=|=>|==?|:)[ \t]*+" + VALUE, re.A)
 #: Types that no literal is mistaken for, and what may stand around a type's name.
 TYPE = r"(?:string|str|text|bytes?|char|rune|varchar|nvarchar|any|object|unknown|var|auto|int|long|number|boolean|bool|final|readonly|String|Str|SecretStr|CharSequence|Any|Object|Optional|Option|Final|ClassVar|Union|Vec|List|Array|i8|u8|i32|u32|i64|u64)"
 MARKS = r"(?:[&*?!]|\[\d*\]|'\w++[ \t]|(?:readonly|const|mut|dyn|static)[ \t])*+"
 BEHIND = r"(?:\(\d+\)|[<\[][\w.$<>\[\], \t|&?*]*+)?+[?!*]?(?:[ \t]*+\|[ \t]*+[\w.$\[\]]++)*+"
 #: The same with a type between name and operator: name: type = value, name type = value, name[8] = value.
 DECLARED = re.compile(
-    rf"[\"'\]]{{0,2}}(?:(?P<colon>[?!]?:)?(?P<blank>[ \t]{{0,8}})(?P<type>{MARKS}(?P<head>(?:\w++(?:\.|::))*+[A-Za-z_$][\w$]*+){BEHIND})|(?P<bounds>\[\d*\]))[ \t]{{0,8}}(?P<op>:?=)(?![=>])[ \t]{{0,8}}" + VALUE, re.A
+    rf"[\"'\]]{{0,2}}(?:(?P<colon>[?!]?:)?(?P<blank>[ \t]*+)(?P<type>{MARKS}(?P<head>(?:\w++(?:\.|::))*+[A-Za-z_$][\w$]*+){BEHIND})|(?P<bounds>\[\d*\]))[ \t]*+(?P<op>:?=)(?![=>])[ \t]*+" + VALUE, re.A
 )
 KNOWN = re.compile(rf"(?:\w+(?:\.|::))*{TYPE}", re.A)
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]]++")

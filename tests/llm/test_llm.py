@@ -155,6 +155,13 @@ def test_secrets_behind_labels_and_types(text, literal):
     assert [text[a:b] for kind, a, b in secrets.scan(text) if kind == "lexed"] == [literal]
 
 
+@pytest.mark.parametrize("n", [0, 8, 9, 12, 5000])
+def test_secrets_in_aligned_columns(n):
+    blanks = " \t" * (n // 2) + " " * (n % 2)
+    for text in (f"aws_secret_access_key{blanks}= wJalrXUtnFEMI", f"aws_secret_access_key ={blanks}wJalrXUtnFEMI", f"access_private_key: str{blanks}={blanks}'wJalrXUtnFEMI'"):
+        assert [text[a:b] for kind, a, b in secrets.scan(text)] == ["wJalrXUtnFEMI"]
+
+
 def test_secrets_lex_no_more_than_assignments():
     assert secrets.scan('if key == "db_pwd": return value') == [] and secrets.scan("if key == db_pwd: return value") == []
     assert secrets.lexed_spans("db_pwd: Zx81Qp77Lm = foo") == [(8, 18)]

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from driftwright.llm import decontam, jaccard, langid, mixing, pii
 from driftwright.llm.common import table, written
 
-#: A language prediction below this is no better than a guess among a few languages.
-LEAST_SCORE = 0.3
 #: Keys of dropped rows are broadcast up to this number (16 MB or so), and joined by a shuffle beyond it.
 MOST_BROADCAST = 1_000_000
 
@@ -28,9 +26,9 @@ def _released(df: DataFrame, like: DataFrame, *extra, **changed) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised. Null texts, texts without letters and mere guesses go."""
+    """Documents with a language, however many languages share the score. Null texts and texts without letters go."""
     found = langid.identify_language(_held(docs), langid.fit(docs))
-    return _released(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
+    return _released(found.filter(F.col("lang_pred") != "und"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

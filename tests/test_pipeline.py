@@ -40,3 +40,13 @@ def test_near_duplicates_leave_one_row_of_each_class(spark, rows):
     ids = [(x[0], (x[1] or "").removesuffix(" end")) for x in want]  # of equal ids any may stay
     assert sorted(((x[0], (x[1] or "").removesuffix(" end")) for x in got), key=str) == sorted(ids, key=str)
     assert all(x in rows for x in got)
+
+
+def test_language_keeps_every_text_with_letters(spark):
+    words = [f"{a}{b}o" for a in "bdfgklmnprst" for b in "aeiu"]
+    rows = [(i, " ".join(r.choices(words, k=12)), f"l{i % 12}", "clash") for i in range(48)]  # twelve labels that nothing tells apart
+    odd = [(None, "a", "l1", None), (3, "a", "l1", None), (3, "a", "l1", None), (50, None, "l1", "x"), (51, "", "l1", "x"), (52, "12 !", "l1", "x")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score string").repartition(2)
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows + odd[:3], key=str)

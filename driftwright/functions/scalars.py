@@ -158,8 +158,13 @@ def elapsed(seconds: Column) -> Column:
     return F.when(hours > 0, F.format_string("%dh %dm %s", hours, minutes, rest)).when(minutes > 0, F.format_string("%dm %s", minutes, rest)).otherwise(rest)
 
 
-def fatal(reason: Column, contains: list[str], prefixes: list[str]) -> Column:
-    """Whether an error text names a condition that a retry won't mend."""
+#: Handshake, authentication and desync errors: parts of a text, and beginnings.
+FATAL_PARTS = ["Protocol version mismatch", "Server authentication rejected", "Authentication failed", "Server HELLO missing", "client received wrong-direction/unknown frame", "RecvFrame desync:"]
+FATAL_PREFIXES = ["Protocol error: ", "Server error: "]
+
+
+def fatal(reason: Column, contains: list[str] = FATAL_PARTS, prefixes: list[str] = FATAL_PREFIXES) -> Column:
+    """Whether an error text names a condition that a retry won't mend. Null and empty texts name none."""
     out = F.lit(False)
     for c in contains:
         out = out | F.contains(reason, F.lit(c))

@@ -162,6 +162,13 @@ def _host_port(s, d):
 add("host_port", _host_port, "SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 2 THEN 'h' || s_suppkey ELSE 'fe80::' || s_suppkey END AS host, CASE s_suppkey % 4 WHEN 1 THEN CASE WHEN s_suppkey * 900 <= 65535 THEN s_suppkey * 900 END WHEN 2 THEN s_suppkey ELSE 443 END AS port FROM supplier")
 add("parent_dirs", lambda s, d: V.remote_manifest(s, d).select("path", S.parent_dir(F.col("path")).alias("dir"), S.base_name(F.col("path")).alias("name")), f"WITH rm AS ({_RM}) SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '[^/]*$', 0) AS name FROM rm")
 add("fatal_errors", lambda s, d: V.table(s, d, "events").select("event_id", S.fatal(F.concat(F.lit("Server error: "), "event_type"), ["error"], ["Protocol error: "]).alias("fatal")), "SELECT event_id, contains('Server error: ' || event_type, 'error') AS fatal FROM events")
+
+#: Each fatal rule hit, then missed by a letter's case, a place or a sign; NULL and empty.
+_REASONS = """CASE event_id % 20 WHEN 0 THEN 'Protocol version mismatch: server=2 client=1' WHEN 1 THEN 'closed: Server authentication rejected' WHEN 2 THEN 'Authentication failed' WHEN 3 THEN 'no Server HELLO missing'
+ WHEN 4 THEN 'client received wrong-direction/unknown frame: 9' WHEN 5 THEN 'x RecvFrame desync: bad header' WHEN 6 THEN concat('Protocol error: ', event_type) WHEN 7 THEN concat('Server error: ', event_type)
+ WHEN 8 THEN 'protocol version mismatch' WHEN 9 THEN 'Server authentication accepted' WHEN 10 THEN 'Authentication  failed' WHEN 11 THEN 'Server HELLO' WHEN 12 THEN 'client received unknown frame' WHEN 13 THEN 'RecvFrame desync'
+ WHEN 14 THEN concat('got Protocol error: ', event_type) WHEN 15 THEN concat(' Server error: ', event_type) WHEN 16 THEN 'Server error:' WHEN 17 THEN '' WHEN 18 THEN NULL ELSE event_type END"""
+add("fatal_reasons", lambda s, d: V.table(s, d, "events").selectExpr("event_id", f"{_REASONS} AS reason").withColumn("fatal", S.fatal(F.col("reason"))), f"SELECT event_id, {_REASONS} AS reason, event_id % 20 < 8 AS fatal FROM events")
 add("elapsed_text", _line(text=lambda n, q: S.elapsed(n % 9000)), _lsql(text="CASE WHEN n % 9000 >= 3600 THEN printf('%dh %dm %.1fs', n % 9000 // 3600, n % 3600 // 60, (n % 60)::DOUBLE) WHEN n % 9000 >= 60 THEN printf('%dm %.1fs', n % 9000 // 60, (n % 60)::DOUBLE) ELSE printf('%.1fs', (n % 60)::DOUBLE) END".replace("n % 3600", "n % 9000 % 3600").replace("n % 60)", "n % 9000 % 60)")))
 
 

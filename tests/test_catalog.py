@@ -41,3 +41,8 @@ def test_other_queries_run(spark, name):
 def test_known_counts(spark, mode, counts):
     r = catalog.QUERIES[f"compare_summary_{mode}"](spark, SF).first()
     assert (r["same"], r["diff"], r["missing"], r["extra_local"]) == counts
+
+
+def test_fatal_rules_hit_and_miss(spark):
+    got = catalog.QUERIES["fatal_reasons"](spark, SF).selectExpr("event_id % 20 AS k", "fatal").distinct().collect()
+    assert sorted(map(tuple, got)) == [(k, k < 8) for k in range(20)]

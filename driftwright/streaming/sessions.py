@@ -1,4 +1,4 @@
-"""Sessions with a grace gap, batch and streaming, and incremental comparison."""
+"""Sessions with a grace gap, batch and streaming, rates, and pairs of requests and responses."""
 
 from __future__ import annotations
 

@@ -5,8 +5,8 @@ canonical URLs. Each distinct url is expanded into the few expressions that coul
 filter is a table of 512-bit blocks (eight longs); an expression's hash picks one block and one
 bit in each long. Expressions that pass join the list exactly, so false positives go.
 
-The filter is broadcast only while its size, known from the list's count, is at most MAX_BLOCKS
-blocks; a longer list goes straight to the exact join. Verdicts are found once per distinct url
+The filter is broadcast while its size, known from the list's count, is at most MAX_BLOCKS blocks.
+The filter of a longer list is joined by block in a shuffle, with each distinct expression once. Verdicts are found once per distinct url
 and joined back, so a hot url costs its rows one shuffle and nothing more.
 """
 
@@ -56,10 +56,10 @@ def _bit(key: Column, i: int) -> Column:
     return F.shiftright(F.xxhash64(key, F.lit("bits")), 7 * i).bitwiseAND(63).cast("int")
 
 
-def possible(found: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """Rows of found whose key passes the filter."""
+def possible(found: DataFrame, blocks: DataFrame, n_blocks: int, *, broadcast: bool = True) -> DataFrame:
+    """Rows of found whose key passes the filter, which is broadcast or else joined by block in a shuffle."""
     passes = reduce(lambda a, b: a & b, (F.call_function("bit_get", F.col(f"w{i}"), _bit(F.col("key"), i)) == 1 for i in range(8)))
-    kept = found.withColumn("block", _block(F.col("key"), n_blocks)).join(F.broadcast(blocks), "block")
+    kept = found.withColumn("block", _block(F.col("key"), n_blocks)).join(F.broadcast(blocks) if broadcast else blocks.hint("shuffle_hash"), "block")
     return kept.filter(passes).select(*found.columns)
 
 
@@ -89,8 +89,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     found = urls.select("url", F.explode(F.array_distinct(F.array(*candidates))).alias("key"))
 
     n_blocks = max(16, -(-keys.count() * BITS_PER_KEY // 512))
+    blocks = filter_blocks(keys, n_blocks)
     if n_blocks <= max_blocks:
-        found = possible(found, filter_blocks(keys, n_blocks), n_blocks)
+        found = possible(found, blocks, n_blocks)
+    else:  # an expression of very many urls meets its block once
+        keys = possible(found.select("key").distinct(), blocks, n_blocks, broadcast=False).join(keys, "key")
     hits = found.join(keys.hint("shuffle_hash"), "key")
     # The longest rule, then the smaller text; a whole-url entry has no rule and loses to any.
     best = hits.groupBy("url").agg(F.min(F.struct((-F.coalesce(F.length("rule"), F.lit(0))).alias("order"), "rule", "says")).alias("best"))

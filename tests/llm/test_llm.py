@@ -180,6 +180,22 @@ def test_urls(spark):
         }
 
 
+def test_urls_long_list_is_filtered_by_a_shuffle(spark, monkeypatch):
+    pages = spark.createDataFrame([(i % 40, f"http://{'www.' if i % 3 else ''}h{i % 9}.example.net/{('en', 'de')[i % 2]}/{i % 40}") for i in range(120)] + [(None, None)], "page_id long, url string")
+    passed, filtered = [], urls.possible
+
+    def possible(found, *args, **options):
+        out = filtered(found, *args, **options)
+        passed.append((found.count(), out.count(), options))
+        return out
+
+    monkeypatch.setattr(urls, "possible", possible)
+    listed = urls.shared_canonicals(pages)
+    short, long = (sorted(map(str, urls.judge_urls(pages, urls.RULES, listed, max_blocks=most).collect())) for most in (urls.MAX_BLOCKS, 0))
+    assert short == long and len(long) == 121
+    assert len(passed) == 2 and passed[1][2] == {"broadcast": False} and passed[1][1] < passed[1][0]
+
+
 def test_language(spark):
     data = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog with this that ", "en"), ("der hund und die katze nicht schön ", "de")] * 60)]
     df = spark.createDataFrame([(i, t * 3, lang) for i, t, lang in data] + [(900, None, "en"), (901, "123 !", "de")], "doc_id long, text string, lang string")

@@ -11,10 +11,17 @@ def ewma(samples: Column, alpha: float = 0.2) -> Column:
     return F.aggregate(samples, F.lit(0.0), lambda a, x: F.when(a <= 0, x).otherwise(a * (1 - alpha) + x * alpha))
 
 
-def net_window(ratios: Column, start: int, floor: int, cap: int) -> Column:
-    """A request window by latency ratios: up by one to 1.25, down to 60 % above 2, within floor and cap."""
-    step = lambda w, r: F.when(r <= 0, w).when(r <= 1.25, F.least(F.lit(cap), w + 1)).when(r > 2, F.greatest(F.lit(floor), F.floor(w * 0.6).cast("int"))).otherwise(w)
-    return F.aggregate(ratios, F.lit(start), step)
+def next_net_window(window: Column, sample: Column, average: Column, floor: int, cap: int) -> Column:
+    """A request window after one round trip: up by one to 1.25 times the average, down to 60 % above twice it, within floor and cap; kept while there is no average."""
+    return (
+        F.when(average <= 0, window).when(sample <= average * 1.25, F.least(F.lit(cap), window + 1))
+        .when(sample > average * 2.0, F.greatest(F.lit(floor), F.floor(window * 0.6).cast("int"))).otherwise(window)
+    )
+
+
+def net_window(samples: Column, start: int, floor: int, cap: int) -> Column:
+    """The window after samples of (rtt, average)."""
+    return F.aggregate(samples, F.lit(start), lambda w, s: next_net_window(w, s["rtt"], s["average"], floor, cap))
 
 
 def worker_cap(samples: Column, start: int, floor: int, cap: int) -> Column:

@@ -70,9 +70,9 @@ def rejects_benefit(download: Column, new_size: Column) -> Column:
 
 
 def rejects_projection(matched: Column, scanned: Column, old_size: Column, new_size: Column) -> Column:
-    """Whether the matches so far, carried on to the whole old file, fall short of 35 % of the new one."""
+    """Whether the matches so far, carried on to the whole old file, come to 35 % of the new one or less."""
     big = lambda c: c.cast("decimal(38,0)")
-    return F.when(scanned == 0, F.lit(False)).otherwise(big(matched) * big(old_size) * 100 < big(new_size) * big(scanned) * 35)
+    return F.when(scanned == 0, F.lit(False)).otherwise(big(matched) * big(old_size) * 100 <= big(new_size) * big(scanned) * 35)
 
 
 def size_units(text: Column) -> Column:
@@ -98,21 +98,37 @@ def strict_double(text: Column) -> Column:
 
 
 def host_port(text: Column, default_port: int) -> tuple[Column, Column]:
-    """Host and port of 'host', 'host:port', '[v6]:port' or a bare v6 address; the port is null if it is not 1 to 65535."""
-    bracket = text.rlike(r"^\[[^\]]*\](:[0-9]+)?$")
+    """Host and port of 'host', 'host:port', '[v6]:port' or a bare v6 address.
+
+    A port counts from its leading digits and must be 1 to 65535; else the default holds, and the
+    text stays whole (brackets still give their host).
+    """
+    number = lambda t: F.when((n := F.regexp_extract(t, r"^\s*\+?([0-9]+)", 1).try_cast("int")).between(1, 65535), n)
+    bracket = text.rlike(r"^\[[^\]]*\]")
+    after = F.regexp_extract(text, r"^\[[^\]]*\](.*)$", 1)
+    inner = F.when(F.startswith(after, F.lit(":")), number(F.substr(after, F.lit(2))))
     colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
-    host = F.when(bracket, F.regexp_extract(text, r"^\[([^\]]*)\]", 1)).when(colons == 1, F.substring_index(text, ":", 1)).otherwise(text)
-    port = F.when(bracket, F.regexp_extract(text, r"\]:([0-9]+)$", 1)).when(colons == 1, F.substring_index(text, ":", -1)).otherwise(F.lit(""))
-    number = F.when((port == "") & ~((colons == 1) & ~bracket), F.lit(default_port)).otherwise(port.try_cast("int"))
-    return host, F.when(number.between(1, 65535), number)
+    plain = F.when(colons == 1, number(F.substring_index(text, ":", -1)))
+    host = F.when(bracket, F.regexp_extract(text, r"^\[([^\]]*)\]", 1)).when(plain.isNotNull(), F.substring_index(text, ":", 1)).otherwise(text)
+    return host, F.coalesce(F.when(bracket, inner).otherwise(plain), F.when(text.isNotNull(), default_port))
+
+
+def host_list(text: Column, default_port: int) -> Column:
+    """Array of (host, port) of a comma-separated list; blank entries are left out."""
+    one = lambda e: F.struct(*[c.alias(n) for n, c in zip(("host", "port"), host_port(e, default_port), strict=True)])
+    return F.transform(F.filter(F.transform(F.split(text, ","), lambda e: F.trim(e)), lambda e: e != ""), one)
 
 
 def relative_path(path: Column) -> Column:
-    """Forward slashes, without a leading ./ ; '.' is empty."""
-    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    """Forward slashes, without one leading ./ ; '.' is empty."""
+    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")
     return F.when(p == ".", F.lit("")).otherwise(p)
 
 
+def join_path(directory: Column, name: Column) -> Column:
+    return F.when(directory == "", name).otherwise(F.concat(directory, F.lit("/"), name))
+
+
 def parent_dir(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit("."))
 
@@ -171,3 +187,40 @@ def fatal(reason: Column, contains: list[str] = FATAL_PARTS, prefixes: list[str]
     for p in prefixes:
         out = out | F.startswith(reason, F.lit(p))
     return F.coalesce(out, F.lit(False))
+
+
+def excluded_address(ip: Column) -> Column:
+    """Empty, wildcard, loopback and link-local addresses, whatever their zone."""
+    a = F.lower(F.substring_index(F.coalesce(ip, F.lit("")), "%", 1))
+    return (a == "") | a.startswith("127.") | a.startswith("169.254.") | a.isin("0.0.0.0", "::", "::1") | a.rlike("^fe[89ab]")
+
+
+def family_rank(ip: Column) -> Column:
+    """0 for IPv4 and names, 1 for IPv6."""
+    return F.when(F.contains(ip, F.lit(":")), 1).otherwise(0)
+
+
+def _address_hex(ip: Column) -> Column:
+    """8 or 32 hex digits of an IPv4 or IPv6 address; null if malformed."""
+    parts = F.split(ip, r"\.")
+    v4 = F.when(ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & F.forall(parts, lambda p: p.cast("int") <= 255), F.array_join(F.transform(parts, lambda p: F.lpad(F.hex(p.cast("int")), 2, "0")), ""))
+    short = F.contains(ip, F.lit("::"))
+    some = lambda t: F.filter(F.split(t, ":"), lambda x: x != "")
+    left, right = some(F.substring_index(ip, "::", 1)), F.when(short, some(F.substring_index(ip, "::", -1))).otherwise(F.array().cast("array<string>"))
+    fill = F.lit(8) - F.size(left) - F.size(right)
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(fill, F.lit(0))), right)
+    once = F.length(F.replace(ip, F.lit("::"), F.lit(""))) == F.length(ip) - 2
+    ok = F.when(short, (fill >= 1) & once).otherwise(fill == 0) & F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+    v6 = F.when(ok, F.upper(F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")))
+    return F.when(F.contains(ip, F.lit(":")), v6).otherwise(v4)
+
+
+def same_subnet(client: Column, prefix: Column, server: Column) -> Column:
+    """Whether two addresses of one family agree in their first bits: `prefix`, or 24 (IPv4) and 64 (IPv6) where that is out of range."""
+    bare = lambda ip: F.regexp_replace(F.substring_index(ip, "%", 1), r"[\[\]]", "")
+    a, b = _address_hex(bare(client)), _address_hex(bare(server))
+    v4 = F.length(a) == 8
+    bits = F.when(v4, F.when(prefix.between(1, 32), prefix).otherwise(24)).otherwise(F.when(prefix.between(1, 128), prefix).otherwise(64)).cast("int")
+    whole = F.floor(bits / 4).cast("int")
+    nibble = lambda h: F.floor(F.conv(F.substr(h, whole + 1, F.lit(1)), 16, 10).cast("int") / F.call_function("shiftleft", F.lit(1), F.lit(4) - bits % 4))
+    return F.coalesce((F.length(a) == F.length(b)) & (F.substr(a, F.lit(1), whole) == F.substr(b, F.lit(1), whole)) & ((bits % 4 == 0) | (nibble(a) == nibble(b))), F.lit(False))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def match(old: bytes, new_size: int, sig: list[tuple[int, int, bytes, int]], blo
     last, p, next_eval = n - block, 0, prefix if prefix is not None else None
 
     def hopeless() -> bool:
-        return bool(p) and stats["matched"] * n * 100 < new_size * 35 * p
+        return bool(p) and stats["matched"] * n * 100 <= new_size * 35 * p
 
     while True:
         at = bisect_left(cand, p)
@@ -142,37 +143,86 @@ def rebuild(old: bytes, new_ranges: Callable[[int, int], bytes], ops: list) -> b
     return b"".join(old[src : src + n] if op == "copy" else new_ranges(at, n) for op, src, at, n in ops)
 
 
-def delta_plan(pairs: DataFrame, *, block: int | None = None) -> DataFrame:
-    """path, old_size, new_size, block, copies, misses, download, matched, scanned, rejected and verified of each (path, old, new).
+def early_prefix(block: int, old_size: int) -> int:
+    """Bytes to scan before the first projection: 256 blocks, a twentieth of the old file or 1 MiB, the most of them, 256 MiB at most."""
+    return min(256 << 20, max(1 << 20, block * 256, old_size // 100 * 5 + old_size % 100 * 5 // 100))
+
+
+def delta_plan(pairs: DataFrame, *, block: int | None = None, prefix: int | None = None, early_stop: bool = True) -> DataFrame:
+    """path, old_size, new_size, block, copies, misses, download, matched, scanned, stopped, rejected, verified and fallback of each (path, old, new).
 
     Files are independent rows, so a plan needs no shuffle; each is rebuilt and its hash compared.
+    A scan that projects to too little gain after `prefix` bytes (by default as early_prefix says)
+    stops, and the whole file is to be downloaded. fallback names why no delta is used:
+    old_unreadable (null), benefit or verify_fail; null if it is.
     """
 
     def run(frames):
         for f in frames:
             rows = []
             for path, old, new in zip(f["path"], f["old"], f["new"], strict=True):
+                unreadable = old is None
                 old, new = bytes(old or b""), bytes(new or b"")
                 size = block or choose_block_size(len(new))
                 sig = signature(new, size)
-                found, stats = match(old, len(new), sig, size, strong_len=choose_strong_len(len(sig)))
+                found, stats = match(old, len(new), sig, size, strong_len=choose_strong_len(len(sig)), prefix=(prefix or early_prefix(size, len(old))) if early_stop else None)
                 ops = plan_ops(found, len(new), size)
                 download = sum(o[3] for o in ops if o[0] == "miss")
                 built = rebuild(old, lambda a, n, new=new: new[a : a + n], ops)
-                rows.append((path, len(old), len(new), size, sum(o[0] == "copy" for o in ops), sum(o[0] == "miss" for o in ops), download, stats["matched"], stats["scanned"], download * 100 >= len(new) * 65, raw_hash(built) == raw_hash(new)))
-            yield pd.DataFrame(rows, columns=["path", "old_size", "new_size", "block", "copies", "misses", "download", "matched", "scanned", "rejected", "verified"])
+                rejected, verified = download * 100 >= len(new) * 65, raw_hash(built) == raw_hash(new)
+                fallback = "old_unreadable" if unreadable else "benefit" if rejected else None if verified else "verify_fail"
+                rows.append((path, len(old), len(new), size, sum(o[0] == "copy" for o in ops), sum(o[0] == "miss" for o in ops), download, stats["matched"], stats["scanned"], stats["stopped"], rejected, verified, fallback))
+            yield pd.DataFrame(rows, columns=["path", "old_size", "new_size", "block", "copies", "misses", "download", "matched", "scanned", "stopped", "rejected", "verified", "fallback"])
 
-    schema = "path string, old_size long, new_size long, block long, copies long, misses long, download long, matched long, scanned long, rejected boolean, verified boolean"
+    schema = "path string, old_size long, new_size long, block long, copies long, misses long, download long, matched long, scanned long, stopped boolean, rejected boolean, verified boolean, fallback string"
     return pairs.select("path", "old", "new").mapInPandas(run, schema)
 
 
+def weak_sums(data: np.ndarray, block: int) -> np.ndarray:
+    """The weak checksum of each block of bytes; the last may be short. All blocks at once."""
+    count = -(-len(data) // block)
+    x = np.zeros(count * block, np.int64)
+    x[: len(data)] = data
+    x = x.reshape(count, block)
+    return ((x @ np.arange(1, block + 1)) & 0xFFFF) << 16 | x.sum(axis=1) & 0xFFFF
+
+
+def signatures(files: DataFrame, content: str, *, block: int | None = None, size: str | None = None) -> DataFrame:
+    """path, block_index, len, weak, strong, file_hash and error: a row for each block of each file, in one pass over its bytes.
+
+    Without `block`, the block size follows from a file's size. strong is XXH3-128 of the block,
+    file_hash the raw hash of the whole file. Files without bytes have no blocks. Null contents give
+    one row with error "unreadable", and where `size` names a column and the bytes are not as many,
+    one with error "size".
+    """
+    names = ["path", "block_index", "len", "weak", "strong", "file_hash", "error"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for i, (path, data) in enumerate(zip(batch.column("path").to_pylist(), batch.column(content), strict=True)):
+                said = batch.column(size)[i].as_py() if size else None
+                raw = data.as_py()
+                error = "unreadable" if raw is None else "size" if size and said != len(raw) else None
+                if error:
+                    for c, x in zip(cols, (path, None, None, None, None, None, error), strict=True):
+                        c.append(x)
+                    continue
+                step = block or choose_block_size(len(raw))
+                n = -(-len(raw) // step)
+                weak = weak_sums(np.frombuffer(raw, np.uint8), step).tolist()
+                for c, x in zip(cols, ([path] * n, range(n), [min(step, len(raw) - k * step) for k in range(n)], weak, [canonical_hash(raw[k * step : (k + 1) * step]) for k in range(n)], [raw_hash(raw)] * n, [None] * n), strict=True):
+                    c.extend(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    keep = list(dict.fromkeys(["path", content, *([size] if size else [])]))
+    return files.select(*keep).mapInArrow(run, "path string, block_index int, len long, weak long, strong binary, file_hash binary, error string")
+
+
 def block_weak(files: DataFrame, content: str, block: int) -> DataFrame:
-    """path, block_index, len and weak of every block, in built-in operations: sums over the block's bytes as hex digits."""
-    each = files.filter(F.octet_length(content) > 0).select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length(content) - 1, F.lit(block)), lambda at: F.substr(F.col(content), at + 1, F.lit(block)))).alias("block_index", "data"))
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substr(F.col("data"), i, F.lit(1))), 16, 10).cast("long"))
-    s1 = F.aggregate("codes", long(0), lambda a, x: a + x) % 65536
-    s2 = F.aggregate(F.transform("codes", lambda x, i: x * (i + 1)), long(0), lambda a, x: a + x) % 65536
-    return each.withColumn("codes", codes).select("path", "block_index", F.octet_length("data").cast("long").alias("len"), (s2 * 65536 + s1).alias("weak"), F.md5("data").alias("strong"))
+    """path, block_index, len, weak and strong of every block."""
+    return signatures(files.filter(F.col(content).isNotNull()), content, block=block).drop("file_hash", "error")
 
 
 def miss_runs(blocks: DataFrame) -> DataFrame:
@@ -184,6 +234,7 @@ def miss_runs(blocks: DataFrame) -> DataFrame:
     return missing.withColumn("island", island).groupBy("path", "island").agg(F.min("block_index").alias("first_block"), F.min("offset").alias("offset"), F.sum("len").alias("len")).drop("island")
 
 
-def candidates(old_windows: DataFrame, new_blocks: DataFrame) -> DataFrame:
-    """Pairs of old and new blocks of a path with equal weak and strong sums, as one equi join."""
-    return old_windows.join(new_blocks, ["path", "weak", "strong"])
+def block_matches(old_blocks: DataFrame, new_blocks: DataFrame) -> DataFrame:
+    """path, old_index and new_index of old and new blocks with equal lengths, weak and strong sums, as one equal join."""
+    side = lambda df, name: df.select("path", "len", "weak", "strong", F.col("block_index").alias(name))
+    return side(old_blocks, "old_index").join(side(new_blocks, "new_index"), ["path", "len", "weak", "strong"]).select("path", "old_index", "new_index")

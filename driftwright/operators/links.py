@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def best_edges(matrix: DataFrame) -> DataFrame:
-    """The best reachable edge of each client and server pair: family, subnet, round trip, then names."""
-    w = Window.partitionBy("client", "server").orderBy("family", "subnet", "rtt", "client", "server", "edge")
-    return matrix.filter("reachable").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The best reachable edge of each client and server pair: family, subnet, round trip, then the edge's own number."""
+    best = F.min_by(F.struct(*matrix.columns), F.struct("family", "subnet", "rtt", "edge"))
+    return matrix.filter("reachable").groupBy("client", "server").agg(best.alias("best")).select("best.*")
 
 
-def pick_lane(lanes: DataFrame, group: str) -> DataFrame:
-    """The healthy lane of least (in_flight + bias) / weight in each group; equal loads go to the lowest lane."""
-    load = (F.col("in_flight") + F.col("bias")) / F.greatest(F.col("weight"), F.lit(1e-9))
-    return lanes.filter("healthy").withColumn("load", load).groupBy(group).agg(F.min_by("lane", F.struct("load", "lane")).alias("lane"))
+EPSILON = 1e-9
+
+
+def pick_lane(lanes: DataFrame, group: str, *, stream_limit: int, force_primary: Column | None = None) -> DataFrame:
+    """The lane of each group that takes the next transfer, or -1: of the healthy lanes below the stream limit that of least (in_flight + bias) / weight.
+
+    Lanes are compared in order, and only a load less by more than EPSILON takes over, so equal loads go
+    to the lowest lane. Where force_primary holds (in any row of a group), a healthy lowest lane is
+    the only choice, full or not. A group's lanes are network links, a few.
+    """
+    forced = F.lit(False) if force_primary is None else force_primary
+    rows = lanes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("lane", "healthy", "in_flight", "bias", "weight"))).alias("lanes"), F.bool_or(forced).alias("forced"))
+    none = F.struct(F.lit(-1).cast("long").alias("lane"), F.lit(0.0).alias("load"))
+
+    def step(best, x):
+        load = (x["in_flight"] + x["bias"]).cast("double") / x["weight"]
+        better = x["healthy"] & (x["in_flight"] < stream_limit) & ((best["lane"] < 0) | (load < best["load"] - EPSILON))
+        return F.when(better, F.struct(x["lane"].cast("long").alias("lane"), load.alias("load"))).otherwise(best)
+
+    first = F.get("lanes", F.lit(0))
+    pinned = F.when(first["in_flight"] < stream_limit, first["lane"].cast("long")).otherwise(F.lit(-1).cast("long"))
+    least = F.aggregate("lanes", none, step, lambda best: best["lane"])
+    return rows.select(group, F.when(F.col("forced") & first["healthy"], pinned).otherwise(least).alias("lane"))
 
 
 def matching(edges: list[tuple]) -> dict:
@@ -40,8 +58,15 @@ def matching(edges: list[tuple]) -> dict:
     return held
 
 
-def link_plan(edges: DataFrame, group: str, budget: int) -> DataFrame:
-    """Per group, the best edges (by rank) that use every client and server once and still allow the largest matching within the budget."""
+def link_plan(edges: DataFrame, group: str, budget: int, *, primary_client: str | None = None, primary_server: str | None = None) -> DataFrame:
+    """Per group, the best edges (by rank) that use every client and server once and still allow the largest matching within the budget.
+
+    A primary link holds its client and its server, whose edges are out, and one place of the budget.
+    """
+    if primary_client is not None or primary_server is not None:
+        budget -= 1
+        edges = edges.filter(~(F.col("client").eqNullSafe(F.lit(primary_client)) | F.col("server").eqNullSafe(F.lit(primary_server))))
+    budget = max(0, budget)
 
     def run(pdf):
         rows = pdf.sort_values("rank").to_dict("records")

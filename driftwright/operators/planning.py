@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftwright.functions.scalars import long
+from driftwright.storage import written
 
 
 class IncompleteSnapshot(ValueError):
@@ -39,12 +40,12 @@ def delete_plan(extra_paths: DataFrame, *, snapshot_complete: bool) -> DataFrame
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Consecutive numbers from 1 in a global order: sorted partitions, numbered within, plus the counts of those before."""
-    ordered = df.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
-    local = ordered.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_i")))
-    sizes = ordered.groupBy("_p").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_before")).drop("_p", "_i", "_r", "_before")
+    """Consecutive numbers from 1 in a global order: places in the sorted partitions, plus the rows of those before."""
+    ordered = written(df.orderBy(*order).withColumn("_i", F.monotonically_increasing_id()), "ordered")  # sorted once; every reading finds the same places
+    part = F.shiftright("_i", 33)
+    sizes = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("n"))  # a row for each partition
+    before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))
+    return ordered.join(F.broadcast(before), part == before["_p"]).withColumn(name, F.col("_i").bitwiseAND((1 << 33) - 1) + 1 + F.col("_before")).drop("_p", "_i", "_before")
 
 
 def ancestors(paths: DataFrame) -> DataFrame:
@@ -55,9 +56,16 @@ def ancestors(paths: DataFrame) -> DataFrame:
 
 
 def deepest(dirs: DataFrame) -> DataFrame:
-    """Directories that the next one in byte order is not below (only the next one counts). The order runs within the first path component, so no task holds all."""
-    w = Window.partitionBy(F.substring_index("dir", "/", 1)).orderBy("dir")
-    return dirs.withColumn("_next", F.lead("dir").over(w)).filter(~F.coalesce(F.startswith("_next", F.concat("dir", F.lit("/"))), F.lit(False))).drop("_next")
+    """Directories that the next one in byte order is not below (only the next one counts): a stays beside a-b and a/c, as a-b stands between.
+
+    What follows d at once is below it if something starts with d and a slash, and nothing starts with
+    d and a smaller byte. Both are properties of prefixes, so equal joins find them and nothing is sorted.
+    """
+    at = F.filter(F.sequence(F.lit(2), F.length("dir")), lambda i: F.substr("dir", i, F.lit(1)) <= "/")
+    cuts = dirs.filter(F.length("dir") >= 2).select("dir", F.explode(at).alias("_i"))
+    marks = cuts.select(F.substr("dir", F.lit(1), F.col("_i") - 1).alias("_dir"), (F.substr("dir", "_i", F.lit(1)) == "/").alias("_below"))
+    marks = marks.groupBy("_dir").agg(F.every("_below").alias("_hides"))
+    return dirs.join(marks, dirs["dir"] == marks["_dir"], "left").filter(~F.coalesce("_hides", F.lit(False))).drop("_dir", "_hides")
 
 
 def empty_dirs(remote_dirs: DataFrame, remote_files: DataFrame, local_dirs: DataFrame) -> DataFrame:
@@ -99,3 +107,99 @@ def sync_counters(done: DataFrame) -> DataFrame:
         F.count_if(skip).alias("unchanged"), F.count_if(~skip & ~deletes & F.col("ok")).alias("transferred"), F.count_if(~skip & ~F.col("ok")).alias("failed"),
         F.count_if(deletes & F.col("ok")).alias("deleted"), F.count_if(~deletes).alias("compared"),
     )
+
+
+#: Queues in the order in which they are served.
+QUEUES = ("batch", "regular", "retry_batch", "retry")
+
+
+def queue_rank(queue: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, QUEUES)), queue).cast("int")
+
+
+def admits_blocks(size: Column, healthy_lanes: Column, abandoned: Column, *, allowed: bool, capable: bool, threshold: int) -> Column:
+    """Whether a file goes in blocks over several lanes: allowed, offered by the server, large, two healthy lanes or more, not abandoned."""
+    return F.lit(allowed and capable) & (size >= threshold) & (healthy_lanes >= 2) & ~abandoned
+
+
+def forces_primary(size: Column, policy: Column, weight: Column, threshold: int) -> Column:
+    """Large files are pinned to the primary lane unless the policy is aux, or auto with a weight of 2 or more."""
+    return (size >= threshold) & ~((policy == "aux") | ((policy == "auto") & (weight >= 2.0)))
+
+
+def after_delta_failure(reason: Column, blocks: Column) -> Column:
+    """Where a file goes when its delta fails: blocks if admissible, else whole; a failed signature always whole."""
+    return F.when(reason == "sig_error", "whole").when(reason.isin("old_unreadable", "benefit", "reconstruct_io", "verify_fail"), F.when(blocks, "blocks").otherwise("whole"))
+
+
+def releases_slot(range_tagged: Column, has_state: Column, has_signature: Column) -> Column:
+    return ~range_tagged & has_state & ~has_signature
+
+
+def write_accounting(ok: Column, fast: Column) -> Column:
+    """(compared, transferred, driver, fast) that a finished write adds; a failed one adds nothing."""
+    one = lambda c: F.when(c, 1).otherwise(0)
+    return F.struct(one(ok).alias("compared"), one(ok).alias("transferred"), one(ok & ~fast).alias("driver"), one(ok & fast).alias("fast"))
+
+
+def write_route(server_ok: Column, complete: Column) -> Column:
+    """Complete entries, empty ones too, go to the write pool; others are closed and retried."""
+    return F.when(server_ok & complete, "dispatch").otherwise("sync_fail")
+
+
+#: Files up to this size are written in one call.
+FAST_WRITE = 256 << 10
+
+
+def write_path(size: Column) -> Column:
+    return F.when(size <= FAST_WRITE, "fast").otherwise("driver")
+
+
+def extra_dirs(remote_dirs: DataFrame, local_dirs: DataFrame) -> DataFrame:
+    """Local directories that the remote side lacks."""
+    return local_dirs.join(remote_dirs, "dir", "left_anti")
+
+
+def forced(undecided: DataFrame, responses: DataFrame) -> DataFrame:
+    """path and action of undecided files once no more hashes come: TRANSFER without a response, else by the hashes.
+
+    undecided: path, local_hash; responses: path, remote_hash. See hash_outcome for marks in hashes.
+    """
+    both = undecided.join(responses.withColumn("_answered", F.lit(True)), "path", "left")
+    return both.select("path", F.when(F.col("_answered").isNull(), "TRANSFER").otherwise(hash_outcome(F.col("remote_hash"), F.col("local_hash"))).alias("action"))
+
+
+def hash_outcome(remote: Column, local: Column) -> Column:
+    """SAME or DIFF by binary hashes: 16 bytes 0xFF from the server stand for a failed read, which differs, and a null never equals."""
+    failed = remote == F.unhex(F.lit("FF" * 16))
+    return F.when(F.coalesce(~failed & (remote == local), F.lit(False)), "SAME").otherwise("DIFF")
+
+
+def needs_verify(wanted: Column) -> Column:
+    """Whether a written file is verified: 16 zero bytes (or null) stand for no hash."""
+    return F.coalesce(wanted != F.unhex(F.lit("00" * 16)), F.lit(False))
+
+
+def range_lanes(ranges: DataFrame, lanes: DataFrame, group: str, *, stream_limit: int) -> DataFrame:
+    """ranges (group, path, offset) with the lane that each starts on now; ranges that must wait are left out.
+
+    A group's ranges go in order to the healthy lane of least (in_flight + bias) / weight below the
+    stream limit, ties to the lowest, and each adds one to its lane. lanes: group, lane, healthy,
+    in_flight, weight, bias; a few links, with at most stream_limit free slots each, so the fold that
+    deals them out sees a bounded number of ranges.
+    """
+    up = lanes.filter(F.col("healthy") & (F.col("in_flight") < stream_limit)).groupBy(group).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("lane").cast("long").alias("lane"), F.col("in_flight").cast("long").alias("load"), "bias", "weight"))).alias("_lanes"), F.sum(stream_limit - F.col("in_flight")).alias("_slots")
+    )
+    turn = F.row_number().over(Window.partitionBy(group).orderBy("path", "offset"))
+    first = ranges.withColumn("_n", turn).join(up, group).filter(F.col("_n") <= F.col("_slots"))
+    one = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_n", "path", "offset"))).alias("_r"), F.first("_lanes").alias("_lanes"))
+
+    def step(acc, x):
+        cost = F.transform(acc["load"], lambda v, i: F.when(v < stream_limit, (v + F.get("_lanes", i)["bias"]).cast("double") / F.get("_lanes", i)["weight"]).otherwise(F.lit(float("inf"))))
+        at = F.array_position(cost, F.array_min(cost)).cast("int") - 1
+        return F.struct(F.transform(acc["load"], lambda v, i: F.when(i == at, v + 1).otherwise(v)).alias("load"), F.concat(acc["at"], F.array(at)).alias("at"))
+
+    start = F.struct(F.transform("_lanes", lambda x: x["load"]).alias("load"), F.array().cast("array<int>").alias("at"))
+    each = one.withColumn("_at", F.aggregate("_r", start, step, lambda acc: acc["at"])).select(group, "_lanes", F.explode(F.arrays_zip("_r", "_at")).alias("_x"))
+    return each.select(group, F.col("_x._r.path").alias("path"), F.col("_x._r.offset").alias("offset"), F.get("_lanes", F.col("_x._at"))["lane"].alias("lane"))

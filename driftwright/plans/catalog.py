@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwright.functions import controllers as K
 from driftwright.functions import scalars as S
+from driftwright.functions import tuning as T
 from driftwright.operators import compare as C
 from driftwright.operators import delta as D
 from driftwright.operators import links as L
@@ -75,18 +76,30 @@ add(
 add(
     "compare_tables",
     lambda s, d: C.compare_tables(
-        V.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").filter("o_orderkey % 11 <> 0"),
-        V.table(s, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey", "o_orderstatus").filter("o_orderkey % 13 <> 0"),
+        V.table(s, d, "orders").filter("o_orderkey % 11 <> 0"),
+        V.table(s, d, "orders").withColumn("o_custkey", F.expr("CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END")).filter("o_orderkey % 13 <> 0"),
         ["o_orderkey"],
     ),
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'EXTRA' WHEN o_orderkey % 13 = 0 THEN 'MISSING' WHEN o_orderkey % 7 = 0 THEN 'DIFF' ELSE 'SAME' END AS category FROM orders WHERE NOT (o_orderkey % 11 = 0 AND o_orderkey % 13 = 0)",
+    """WITH r AS (SELECT * FROM orders WHERE o_orderkey % 11 <> 0), l AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey) FROM orders WHERE o_orderkey % 13 <> 0)
+    SELECT coalesce(r.o_orderkey, l.o_orderkey) AS o_orderkey, CASE WHEN r.o_orderkey IS NULL THEN 'EXTRA' WHEN l.o_orderkey IS NULL THEN 'MISSING' WHEN r IS NOT DISTINCT FROM l THEN 'SAME' ELSE 'DIFF' END AS category
+    FROM r FULL JOIN l ON r.o_orderkey = l.o_orderkey""",
 )
 add("report_rows", lambda s, d: R.report_rows(_fast(s, d)), _cmp("fast") + "SELECT * FROM cmp WHERE category <> 'SAME'")
 add("report_filter_diff", lambda s, d: R.report_rows(_fast(s, d), ("DIFF",)), _cmp("fast") + "SELECT * FROM cmp WHERE category = 'DIFF'")
-add("report_text", lambda s, d: R.text_lines(_fast(s, d)), _cmp("fast") + "SELECT path, '[' || category || '] ' || path || CASE WHEN category = 'DIFF' THEN '  local=' || coalesce(local_size::VARCHAR, '-') || ' remote=' || coalesce(remote_size::VARCHAR, '-') ELSE '' END AS line FROM cmp WHERE category <> 'SAME'")
+_LINE = "rpad('[' || category || ']', 9, ' ') || ' ' || path || CASE WHEN category = 'DIFF' THEN '  local=' || coalesce(local_size::VARCHAR, '-') || ' remote=' || coalesce(remote_size::VARCHAR, '-') ELSE '' END"
+_JSON = """'{"type": "' || category || '", "path": "' || path || '", "local_size": ' || coalesce(local_size::VARCHAR, 'null') || ', "remote_size": ' || coalesce(remote_size::VARCHAR, 'null') || ', "hash_compared": ' || hash_compared::VARCHAR || '}'"""
+_SAID = "'same=' || same || ' diff=' || diff || ' missing=' || missing || ' extra_local=' || extra_local || ' total=' || total || ' mode=fast duration_ms=7'"
+add("report_lines", lambda s, d: R.text_lines(_fast(s, d)), _cmp("fast") + f"SELECT path, {_LINE} AS line FROM cmp WHERE category <> 'SAME'")
+add("report_text", lambda s, d: R.text_report(_fast(s, d), "fast", 7), _cmp("fast") + f"SELECT 0 AS part, '' AS path, 'Check completed. ' || {_SAID} AS line FROM ({_COUNT}) UNION ALL SELECT 1, path, {_LINE} FROM cmp WHERE category <> 'SAME'")
+add("report_partial", lambda s, d: R.text_report(_fast(s, d), "fast", 7, partial=True, summary_only=True).select("line"), _cmp("fast") + f"SELECT '[PARTIAL] Check incomplete. ' || {_SAID} AS line FROM ({_COUNT})")
+add("report_json", lambda s, d: R.json_lines(_fast(s, d)), _cmp("fast") + f"SELECT path, {_JSON} AS json FROM cmp WHERE category <> 'SAME'")
 add(
-    "report_json", lambda s, d: R.json_lines(_fast(s, d)),
-    _cmp("fast") + """SELECT path, '{"type":"' || category || '","path":"' || path || '","local_size":' || coalesce(local_size::VARCHAR, 'null') || ',"remote_size":' || coalesce(remote_size::VARCHAR, 'null') || ',"hash_compared":' || hash_compared::VARCHAR || '}' AS json FROM cmp WHERE category <> 'SAME'""",
+    "report_document", lambda s, d: R.json_report(_fast(s, d), "fast", 7, categories=("DIFF", "SAME")),
+    _cmp("fast") + f""", c AS ({_COUNT}), x AS (SELECT path, {_JSON} AS json FROM cmp WHERE category IN ('DIFF', 'SAME')), m AS (SELECT max(path) AS last FROM x),
+    h AS (SELECT ['{{', '  "summary": {{', '    "same": ' || same || ',', '    "diff": ' || diff || ',', '    "missing": ' || missing || ',', '    "extra_local": ' || extra_local || ',', '    "total_compared": ' || total || ',',
+      '    "mode": "fast",', '    "duration_ms": 7,', '    "partial": false', '  }},', '  "differences": ['] AS a FROM c), t AS (SELECT ['  ]', '}}'] AS a)
+    SELECT 0 AS part, printf('%04d', i) AS path, a[i + 1] AS line FROM h, range(12) r(i) UNION ALL SELECT 1, path, '    ' || json || CASE WHEN path < last THEN ',' ELSE '' END FROM x, m
+    UNION ALL SELECT 2, printf('%04d', i), a[i + 1] FROM t, range(2) r(i)""",
 )
 add("report_json_summary", lambda s, d: R.json_summary(_fast(s, d), "fast", 0, False), _cmp("fast") + f"""SELECT '{{"same":' || same || ',"diff":' || diff || ',"missing":' || missing || ',"extra_local":' || extra_local || ',"total_compared":' || total || ',"mode":"fast","duration_ms":0,"partial":false}}' AS json FROM ({_COUNT})""")
 add("size_histogram", lambda s, d: M.size_histogram(V.remote_manifest(s, d)), f"WITH rm AS ({_RM}) SELECT CASE WHEN size < 4096 THEN '<4K' WHEN size < 16384 THEN '<16K' WHEN size < 65536 THEN '<64K' WHEN size < 262144 THEN '<256K' WHEN size < 1048576 THEN '<1M' ELSE '>=1M' END AS bucket, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM rm GROUP BY 1")
@@ -96,7 +109,12 @@ add(
     lambda s, d: M.nearest_rank(V.remote_manifest(s, d).alias("r").join(V.local_manifest(s, d).alias("l"), ["path", "size"]).select(F.abs(F.col("l.mtime_raw") - F.col("r.mtime_raw")).alias("delta")), "delta"),
     f"WITH {_DELTA_T}, n AS (SELECT delta, row_number() OVER (ORDER BY delta) - 1 AS i, count(*) OVER () AS n FROM x) SELECT share, delta AS value FROM n JOIN (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (1.0::DOUBLE)) v(share) ON i = floor(share * (n - 1) + 0.5)",
 )
-add("log2_hist_p95", lambda s, d: M.log2_p95(V.remote_manifest(s, d), "size"), f"WITH rm AS ({_RM}), h AS (SELECT CASE WHEN size <= 0 THEN 0 ELSE length(ltrim(bin(size), '0')) END AS b, count(*) AS c FROM rm GROUP BY 1), t AS (SELECT b, sum(c) OVER (ORDER BY b) AS t, sum(c) OVER () AS n FROM h) SELECT CAST(1 AS BIGINT) << min(least(31, b)) AS p95_upper FROM t WHERE t >= ceil(n * 0.95)")
+add(
+    "log2_hist_p95",
+    lambda s, d: M.log2_p95(V.remote_manifest(s, d), "size").withColumn("of", F.lit("all")).unionByName(M.log2_p95(V.remote_manifest(s, d).filter("size < 0"), "size").withColumn("of", F.lit("none"))).unionByName(M.log2_p95(V.remote_manifest(s, d).selectExpr("size * 0 AS size"), "size").withColumn("of", F.lit("zeros"))),
+    f"""WITH rm AS ({_RM}), v AS (SELECT 'all' AS of, size AS x FROM rm UNION ALL SELECT 'zeros', 0 FROM rm), h AS (SELECT of, CASE WHEN x <= 1 THEN 0 ELSE least(31, CAST(floor(log2(x)) AS INTEGER)) END AS b, count(*) AS c FROM v GROUP BY 1, 2),
+    t AS (SELECT of, b, sum(c) OVER (PARTITION BY of ORDER BY b) AS t, sum(c) OVER (PARTITION BY of) AS n FROM h) SELECT CAST(1 AS BIGINT) << CAST(least(31, min(b) + 1) AS INTEGER) AS p95_upper, of FROM t WHERE t >= (n * 95 + 99) // 100 GROUP BY of UNION ALL SELECT 0, 'none'""",
+)
 add(
     "last_wins_dedup",
     lambda s, d: C.last_wins(V.table(s, d, "conversations").selectExpr("concat('conv/', conv_id) AS path", "turn", "octet_length(text) AS size"), "turn").select("path", "turn", "size"),
@@ -117,7 +135,10 @@ add("ancestor_dirs", lambda s, d: V.directories(V.remote_manifest(s, d)), f"WITH
 _lost = lambda s, d: P.empty_dirs(V.directories(V.remote_manifest(s, d)), V.remote_manifest(s, d).filter("size > 2000"), V.directories(V.local_manifest(s, d).filter("size > 6000")))
 _LOST = f"WITH rm AS ({_RM}), lm AS ({_LM}), big AS (SELECT * FROM rm WHERE size > 2000), loc AS (SELECT * FROM lm WHERE size > 6000), e AS (SELECT dir FROM ({_DIRS.format('rm')}) WHERE dir NOT IN ({_DIRS.format('big')}) AND dir NOT IN ({_DIRS.format('loc')})) "
 add("empty_dirs", _lost, _LOST + "SELECT dir FROM e")
-add("deepest_dirs", lambda s, d: P.deepest(V.directories(V.remote_manifest(s, d))), f"WITH rm AS ({_RM}), a AS ({_DIRS.format('rm')}), n AS (SELECT dir, lead(dir) OVER (ORDER BY dir) AS nxt FROM a) SELECT dir FROM n WHERE NOT coalesce(starts_with(nxt, dir || '/'), false)")
+_odd = lambda s, d: (x := V.directories(V.remote_manifest(s, d))).unionByName(x.filter("length(dir) % 3 <> 0").selectExpr("concat(dir, CASE WHEN length(dir) % 2 = 0 THEN '-old' ELSE ' old/x' END) AS dir"))
+_ODD = f"a AS ({_DIRS.format('rm')}), o AS (SELECT dir FROM a UNION ALL SELECT dir || CASE WHEN length(dir) % 2 = 0 THEN '-old' ELSE ' old/x' END FROM a WHERE length(dir) % 3 <> 0)"
+add("deepest_dirs", lambda s, d: P.deepest(_odd(s, d)), f"WITH rm AS ({_RM}), {_ODD}, n AS (SELECT dir, lead(dir) OVER (ORDER BY dir) AS nxt FROM o) SELECT dir FROM n WHERE NOT coalesce(starts_with(nxt, dir || '/'), false)")
+add("extra_dirs", lambda s, d: P.extra_dirs(V.directories(V.remote_manifest(s, d)), V.directories(V.local_manifest(s, d))), f"WITH rm AS ({_RM}), lm AS ({_LM}) SELECT dir FROM ({_DIRS.format('lm')}) WHERE dir NOT IN ({_DIRS.format('rm')})")
 add("block_slices", lambda s, d: P.slices(V.remote_manifest(s, d), "size", 4096).select("path", "offset", "len"), f"WITH rm AS ({_RM}), x AS (SELECT path, size, unnest(range(0, size, 4096)) AS o FROM rm WHERE size > 0) SELECT path, o AS offset, least(4096, size - o) AS len FROM x")
 add("batch_pack", lambda s, d: P.packed(V.remote_manifest(s, d).withColumn("dir", S.parent_dir(F.col("path"))), "dir", max_files=8, max_bytes=8192))
 
@@ -144,31 +165,62 @@ add("strong_len", _line(strong=lambda n, q: S.strong_len(n)), _lsql(strong="CASE
 add("bucket_of", _line(bucket=lambda n, q: S.bucket_of(n)), _lsql(bucket="xor(n >> 16, n & 65535)"))
 add("early_stop_prefix", _line(prefix=lambda n, q: S.early_stop_prefix(q * 1024, n * 100)), _lsql(prefix="least(268435456, greatest(greatest(1048576, q * 1024 * 256), n * 100 // 100 * 5 + n * 100 % 100 * 5 // 100))"))
 add("benefit_gate", _line(rejected=lambda n, q: S.rejects_benefit(q, q + n % 40)), _lsql(rejected="q * 100 >= (q + n % 40) * 65"))
-add("projection_gate", _line(rejected=lambda n, q: S.rejects_projection(q, n % 100, n, n + q)), _lsql(rejected="n % 100 <> 0 AND q::HUGEINT * n * 100 < (n + q)::HUGEINT * (n % 100) * 35"))
+add("projection_gate", _line(rejected=lambda n, q: S.rejects_projection(q, n % 100, n, n + q), even=lambda n, q: S.rejects_projection(q, S.long(20), S.long(100), S.long(100) + n % 2)), _lsql(rejected="n % 100 <> 0 AND q::HUGEINT * n * 100 <= (n + q)::HUGEINT * (n % 100) * 35", even="q * 100 * 100 <= (100 + n % 2) * 20 * 35"))
 add("rtt_streams", _line(streams=lambda n, q: S.streams_for_rtt(q * 2)), _lsql(streams="CASE WHEN q * 2 <= 10 THEN 4 WHEN q * 2 <= 30 THEN 8 WHEN q * 2 <= 60 THEN 12 ELSE 16 END"))
 add("backpressure", _line(us=lambda n, q: S.backpressure_us(n % 300, q + 20)), _lsql(us="CASE WHEN n % 300 <= q + 20 THEN 0 WHEN n % 300 - q - 20 > (q + 20) * 2 THEN 5000 WHEN n % 300 - q - 20 > q + 20 THEN 3000 WHEN n % 300 - q - 20 > (q + 20) // 2 THEN 1500 WHEN n % 300 - q - 20 > (q + 20) // 4 THEN 700 ELSE 300 END"))
 add("reserved_slots", _line(slots=lambda n, q: S.reserved_slots(q)), _lsql(slots="CASE WHEN q <= 2 THEN greatest(q - 1, 0) ELSE least(4, greatest(2, q // 8)) END"))
 add("reconnect_backoff", _line(s=lambda n, q: S.reconnect_seconds(q.cast("int"))), _lsql(s="least(30, CAST(1 AS BIGINT) << CAST(least(q - 1, 5) AS INTEGER))"))
 add("align", _line(up=lambda n, q: S.align_up(n, 4096), down=lambda n, q: S.align_down(n, 4096)), _lsql(up="(n + 4095) // 4096 * 4096", down="n // 4096 * 4096"))
-add("parse_size", _line(bytes=lambda n, q: _or_none(S.size_units(F.concat(q.cast("string"), F.element_at(F.array(*map(F.lit, ["", "b", "K", "kb", "m", "MB", "g", "1T"])), (n % 8 + 1).cast("int")))))), _lsql(bytes="CASE n % 8 WHEN 0 THEN q WHEN 1 THEN q WHEN 2 THEN q * 1024 WHEN 3 THEN q * 1024 WHEN 4 THEN q * 1048576 WHEN 5 THEN q * 1048576 WHEN 6 THEN q * 1073741824 ELSE -1 END"))
-add("parse_duration", _line(ms=lambda n, q: _or_none(S.duration_ms(F.concat(q.cast("string"), F.element_at(F.array(*map(F.lit, ["", "s", "sec", "m", "min", "h", "hr", "d"])), (n % 8 + 1).cast("int")))))), _lsql(ms="CASE WHEN n % 8 < 3 THEN q * 1000 WHEN n % 8 < 5 THEN q * 60000 WHEN n % 8 < 7 THEN q * 3600000 ELSE -1 END"))
+def _texts(units):
+    return lambda n, q: F.concat(q.cast("string"), F.element_at(F.array(*map(F.lit, units)), (n % len(units) + 1).cast("int")))
+
+
+def _parsed(units, pattern, scales):
+    """SQL that makes the same texts, then parses them."""
+    text = f"(q || ([{', '.join(repr(u) for u in units)}])[CAST(n % {len(units)} + 1 AS INTEGER)])"
+    unit = f"lower(regexp_extract({text}, '{pattern}', 2, 'i'))"
+    return f"CASE WHEN regexp_full_match({text}, '{pattern}', 'i') THEN CAST(regexp_extract({text}, '{pattern}', 1, 'i') AS BIGINT) * CASE " + " ".join(f"WHEN {unit} IN ({', '.join(repr(u) for u in us)}) THEN {k}" for us, k in scales) + " END ELSE -1 END"
+
+
+_SIZES, _TIMES = ["", "b", "K", "kb", "m", "MB", "g", "1T", "x", "-"], ["", "s", "sec", "m", "min", "h", "hr", "d", "S", " s"]
+add("parse_size", _line(bytes=lambda n, q: _or_none(S.size_units(_texts(_SIZES)(n, q)))), _lsql(bytes=_parsed(_SIZES, "([0-9]+)(b|k|kb|m|mb|g|gb)?", [(["", "b"], 1), (["k", "kb"], 1024), (["m", "mb"], 1048576), (["g", "gb"], 1073741824)])))
+add("parse_duration", _line(ms=lambda n, q: _or_none(S.duration_ms(_texts(_TIMES)(n, q)))), _lsql(ms=_parsed(_TIMES, "([0-9]+)(s|sec|m|min|h|hr)?", [(["", "s", "sec"], 1000), (["m", "min"], 60000), (["h", "hr"], 3600000)])))
+
+
+_SERVER = """CASE s_suppkey % 10 WHEN 0 THEN concat('h', s_suppkey) WHEN 1 THEN concat('h', s_suppkey, ':', s_suppkey * 900) WHEN 2 THEN concat('[fe80::', s_suppkey, ']:', s_suppkey) WHEN 3 THEN concat('fe80::', s_suppkey)
+  WHEN 4 THEN concat('[fe80::', s_suppkey, ']') WHEN 5 THEN concat('[fe80::', s_suppkey, ']:x') WHEN 6 THEN concat('h', s_suppkey, ':0') WHEN 7 THEN concat('h', s_suppkey, ':') WHEN 8 THEN concat('h', s_suppkey, ':8', s_suppkey, 'a') ELSE concat(':', s_suppkey) END"""
 
 
 def _host_port(s, d):
     host, port = S.host_port(F.col("e"), 443)
-    return V.table(s, d, "supplier").selectExpr("s_suppkey", "CASE s_suppkey % 4 WHEN 0 THEN concat('h', s_suppkey) WHEN 1 THEN concat('h', s_suppkey, ':', s_suppkey * 900) WHEN 2 THEN concat('[fe80::', s_suppkey, ']:', s_suppkey) ELSE concat('fe80::', s_suppkey) END AS e").select("s_suppkey", host.alias("host"), port.alias("port"))
+    return V.table(s, d, "supplier").selectExpr("s_suppkey", f"{_SERVER} AS e").select("s_suppkey", host.alias("host"), port.alias("port"))
 
 
-add("host_port", _host_port, "SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 2 THEN 'h' || s_suppkey ELSE 'fe80::' || s_suppkey END AS host, CASE s_suppkey % 4 WHEN 1 THEN CASE WHEN s_suppkey * 900 <= 65535 THEN s_suppkey * 900 END WHEN 2 THEN s_suppkey ELSE 443 END AS port FROM supplier")
+add(
+    "host_port", _host_port,
+    f"""WITH x AS (SELECT s_suppkey, {_SERVER} AS e FROM supplier), p AS (SELECT *, e[1] = '[' AS b, CASE WHEN e[1] = '[' THEN regexp_extract(e, '\\]:([0-9]+)', 1) WHEN length(e) - length(replace(e, ':', '')) = 1 THEN regexp_extract(e, ':([0-9]+)', 1) ELSE '' END AS t FROM x),
+    n AS (SELECT *, CASE WHEN TRY_CAST(t AS INTEGER) BETWEEN 1 AND 65535 THEN CAST(t AS INTEGER) END AS port FROM p)
+    SELECT s_suppkey, CASE WHEN b THEN regexp_extract(e, '\\[(.*)\\]', 1) WHEN port IS NOT NULL THEN split_part(e, ':', 1) ELSE e END AS host, coalesce(port, 443) AS port FROM n""",
+)
+add(
+    "host_list", lambda s, d: V.table(s, d, "supplier").select("s_suppkey", F.inline(S.host_list(F.expr("concat('a', s_suppkey, ':', s_suppkey, ', ,b', s_suppkey, ',[::1]:9')"), 443))),
+    "SELECT s_suppkey, unnest([CASE WHEN s_suppkey = 0 THEN 'a0:0' ELSE 'a' || s_suppkey END, 'b' || s_suppkey, '::1']) AS host, unnest([CASE WHEN s_suppkey = 0 THEN 443 ELSE CAST(s_suppkey AS INTEGER) END, 443, 9]) AS port FROM supplier",
+)
+add(
+    "relative_paths", _line(path=lambda n, q: S.relative_path(F.element_at(F.array(*map(F.lit, [".", "./a", "././a", ".a/b", "a\\b", ".\\a", "", "a/./b"])), (n % 8 + 1).cast("int"))), joined=lambda n, q: S.join_path(F.when(n % 2 == 0, "").otherwise("d/e"), q.cast("string"))),
+    _lsql(path="CASE n % 8 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN './a' WHEN 3 THEN '.a/b' WHEN 4 THEN 'a/b' WHEN 5 THEN 'a' WHEN 6 THEN '' ELSE 'a/./b' END", joined="CASE WHEN n % 2 = 0 THEN '' ELSE 'd/e/' END || q"),
+)
 add("parent_dirs", lambda s, d: V.remote_manifest(s, d).select("path", S.parent_dir(F.col("path")).alias("dir"), S.base_name(F.col("path")).alias("name")), f"WITH rm AS ({_RM}) SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '[^/]*$', 0) AS name FROM rm")
-add("fatal_errors", lambda s, d: V.table(s, d, "events").select("event_id", S.fatal(F.concat(F.lit("Server error: "), "event_type"), ["error"], ["Protocol error: "]).alias("fatal")), "SELECT event_id, contains('Server error: ' || event_type, 'error') AS fatal FROM events")
-
 #: Each fatal rule hit, then missed by a letter's case, a place or a sign; NULL and empty.
 _REASONS = """CASE event_id % 20 WHEN 0 THEN 'Protocol version mismatch: server=2 client=1' WHEN 1 THEN 'closed: Server authentication rejected' WHEN 2 THEN 'Authentication failed' WHEN 3 THEN 'no Server HELLO missing'
  WHEN 4 THEN 'client received wrong-direction/unknown frame: 9' WHEN 5 THEN 'x RecvFrame desync: bad header' WHEN 6 THEN concat('Protocol error: ', event_type) WHEN 7 THEN concat('Server error: ', event_type)
  WHEN 8 THEN 'protocol version mismatch' WHEN 9 THEN 'Server authentication accepted' WHEN 10 THEN 'Authentication  failed' WHEN 11 THEN 'Server HELLO' WHEN 12 THEN 'client received unknown frame' WHEN 13 THEN 'RecvFrame desync'
  WHEN 14 THEN concat('got Protocol error: ', event_type) WHEN 15 THEN concat(' Server error: ', event_type) WHEN 16 THEN 'Server error:' WHEN 17 THEN '' WHEN 18 THEN NULL ELSE event_type END"""
-add("fatal_reasons", lambda s, d: V.table(s, d, "events").selectExpr("event_id", f"{_REASONS} AS reason").withColumn("fatal", S.fatal(F.col("reason"))), f"SELECT event_id, {_REASONS} AS reason, event_id % 20 < 8 AS fatal FROM events")
+add(
+    "fatal_errors", lambda s, d: V.table(s, d, "events").selectExpr("event_id", f"{_REASONS} AS reason").withColumn("fatal", S.fatal(F.col("reason"))),
+    f"""SELECT event_id, reason, coalesce(contains(reason, 'Protocol version mismatch') OR contains(reason, 'Server authentication rejected') OR contains(reason, 'Authentication failed') OR contains(reason, 'Server HELLO missing')
+      OR contains(reason, 'client received wrong-direction/unknown frame') OR contains(reason, 'RecvFrame desync:') OR starts_with(reason, 'Protocol error: ') OR starts_with(reason, 'Server error: '), false) AS fatal FROM (SELECT event_id, {_REASONS} AS reason FROM events)""",
+)
 add("elapsed_text", _line(text=lambda n, q: S.elapsed(n % 9000)), _lsql(text="CASE WHEN n % 9000 >= 3600 THEN printf('%dh %dm %.1fs', n % 9000 // 3600, n % 3600 // 60, (n % 60)::DOUBLE) WHEN n % 9000 >= 60 THEN printf('%dm %.1fs', n % 9000 // 60, (n % 60)::DOUBLE) ELSE printf('%.1fs', (n % 60)::DOUBLE) END".replace("n % 3600", "n % 9000 % 3600").replace("n % 60)", "n % 9000 % 60)")))
 
 
@@ -190,19 +242,53 @@ add("range_slices", lambda s, d: P.slices(D.miss_runs(_blocks(s, d)).withColumnR
 
 
 def _pairs(s, d):
-    docs = V.table(s, d, "documents").groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("r"))
-    old = F.array_join(F.transform("r", lambda x: x["text"]), "\n")
-    new = F.array_join(F.transform(F.filter("r", lambda x: x["doc_id"] % 5 != 0), lambda x: x["text"]), "\n")
-    return docs.select(F.concat_ws("/", "lang", "source").alias("path"), F.encode(old, "UTF-8").alias("old"), F.encode(new, "UTF-8").alias("new"))
-
-
-add("delta_plan", lambda s, d: D.delta_plan(_pairs(s, d)))
-add("best_edges", lambda s, d: L.best_edges(V.matrix(s, d)).select("client", "server", "edge"), "SELECT 'c' || c_custkey % 4 AS client, 's' || s_suppkey % 3 AS server, c_custkey * 100000 + s_suppkey AS edge FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE (c_custkey + s_suppkey) % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY c_custkey % 4, s_suppkey % 3 ORDER BY c_custkey % 2, (c_custkey + s_suppkey) % 2, (c_custkey * 7 + s_suppkey * 13) % 100, c_custkey * 100000 + s_suppkey) = 1")
-add("lane_pick", lambda s, d: L.pick_lane(V.lanes(s, d), "grp"), "SELECT s_nationkey AS grp, arg_min(s_suppkey, ((s_suppkey % 5 + s_suppkey % 2) / (1 + s_suppkey % 3)::DOUBLE, s_suppkey)) AS lane FROM supplier WHERE s_suppkey % 7 <> 0 GROUP BY 1")
-add("link_plan", lambda s, d: L.link_plan(L.best_edges(V.matrix(s, d)).select(F.lit(0).alias("grp"), "client", "server", F.col("rtt").alias("rank")), "grp", 2))
+    """Each document as an old file, and a new one with something put before, behind, in or taken out."""
+    new = """CASE doc_id % 5 WHEN 0 THEN concat('head ', text) WHEN 1 THEN concat(text, ' tail') WHEN 2 THEN overlay(text PLACING '####' FROM greatest(1, length(text) div 2)) WHEN 3 THEN substr(text, 100) ELSE text END"""
+    docs = V.table(s, d, "documents").selectExpr("concat_ws('/', lang, source, doc_id) AS path", "text", f"{new} AS new")
+    return docs.select("path", F.encode("text", "UTF-8").alias("old"), F.encode("new", "UTF-8").alias("new"))
+
+
+add("delta_plan", lambda s, d: D.delta_plan(_pairs(s, d), block=512))
+add("signatures", lambda s, d: D.signatures(_files(s, d).withColumn("said", F.expr("size + CASE WHEN size % 9 = 0 THEN 1 ELSE 0 END")), "content", size="said").select("path", "block_index", "len", F.hex("strong").alias("strong"), F.hex("file_hash").alias("file_hash"), "error"))
+_ORDER = "c_custkey % 2, (c_custkey // 2) % 2, (c_custkey * 7 + c_nationkey * 13) % 100, c_custkey"
+_EDGES = f"SELECT 'c' || c_custkey % 4 AS client, 's' || c_nationkey % 3 AS server, CAST(c_custkey AS BIGINT) AS edge, CAST((c_custkey * 7 + c_nationkey * 13) % 100 AS DOUBLE) AS rtt FROM customer WHERE (c_custkey + c_nationkey) % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY c_custkey % 4, c_nationkey % 3 ORDER BY {_ORDER}) = 1"
+add("best_edges", lambda s, d: L.best_edges(V.matrix(s, d)).select("client", "server", "edge"), f"SELECT client, server, edge FROM ({_EDGES})")
+add("least_rtt", lambda s, d: M.least_rtt(V.matrix(s, d), "grp"), "SELECT c_nationkey AS grp, min(CASE WHEN (c_custkey + c_nationkey) % 5 <> 0 THEN CAST((c_custkey * 7 + c_nationkey * 13) % 100 AS DOUBLE) END) AS rtt FROM customer GROUP BY 1")
+_LOAD = "(s_suppkey % 5 + s_suppkey % 2) / (1 + s_suppkey % 3)::DOUBLE"
+add(
+    "lane_pick", lambda s, d: L.pick_lane(V.lanes(s, d), "grp", stream_limit=3, force_primary=F.col("grp") % 2 == 0),
+    f"""WITH l AS (SELECT s_nationkey AS grp, CAST(s_suppkey AS BIGINT) AS lane, s_suppkey % 7 <> 0 AS ok, s_suppkey % 5 AS n, {_LOAD} AS load FROM supplier), p AS (SELECT grp, arg_min(ok, lane) AS ok, arg_min(n, lane) AS n, min(lane) AS lane FROM l GROUP BY grp),
+    b AS (SELECT grp, arg_min(lane, (load, lane)) AS lane FROM l WHERE ok AND n < 3 GROUP BY grp) SELECT p.grp, CASE WHEN p.grp % 2 = 0 AND p.ok THEN CASE WHEN p.n < 3 THEN p.lane ELSE -1 END ELSE coalesce(b.lane, -1) END AS lane FROM p LEFT JOIN b USING (grp)""",
+)
+add(
+    "link_plan", lambda s, d: L.link_plan(L.best_edges(V.matrix(s, d)).select(F.lit(0).alias("grp"), "client", "server", F.col("edge").alias("rank")), "grp", 3, primary_client="c0", primary_server="s0").select("client", "server"),
+    f"""WITH e AS (SELECT client, server, edge FROM ({_EDGES}) WHERE client <> 'c0' AND server <> 's0'), m AS (SELECT x.client AS c1, x.server AS s1, y.client AS c2, y.server AS s2, least(x.edge, y.edge) AS a, greatest(x.edge, y.edge) AS b FROM e x JOIN e y ON x.client < y.client AND x.server <> y.server),
+    best AS (SELECT * FROM m ORDER BY a, b LIMIT 1), one AS (SELECT client, server FROM e WHERE NOT EXISTS (SELECT 1 FROM m) ORDER BY edge LIMIT 1)
+    SELECT c1 AS client, s1 AS server FROM best UNION ALL SELECT c2, s2 FROM best UNION ALL SELECT * FROM one""",
+)
 _SER = "SELECT user_id, list(coalesce(value, 0) ORDER BY ts, event_id) AS v FROM events GROUP BY user_id"
 add("ewma", lambda s, d: V.user_series(s, d).select("user_id", F.round(K.ewma(F.col("values")), 6).alias("ewma")), f"SELECT user_id, round(list_reduce(v, lambda a, x: CASE WHEN a <= 0 THEN x ELSE a * 0.8::DOUBLE + x * 0.2::DOUBLE END, 0::DOUBLE), 6) AS ewma FROM ({_SER})")
-add("net_window", lambda s, d: V.user_series(s, d).select("user_id", K.net_window(F.transform("values", lambda x: x / 50), 8, 2, 64).alias("w")), f"SELECT user_id, CAST(list_reduce(list_transform(v, lambda x: x / 50), lambda w, r: CASE WHEN r <= 0 THEN w WHEN r <= 1.25 THEN least(64, w + 1) WHEN r > 2 THEN greatest(2, floor(w * 0.6::DOUBLE)) ELSE w END, 8::DOUBLE) AS INTEGER) AS w FROM ({_SER})")
+_rtts = F.transform("values", lambda x, i: F.struct(x.alias("rtt"), F.when(i % 11 == 0, 0.0).otherwise(F.lit(60.0) - i % 7 * 5).alias("average")))
+add(
+    "net_window", lambda s, d: V.user_series(s, d).select("user_id", K.net_window(_rtts, 8, 2, 64).alias("w")),
+    """WITH RECURSIVE x AS (SELECT user_id, coalesce(value, 0) AS rtt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), y AS (SELECT *, CASE WHEN (i - 1) % 11 = 0 THEN 0 ELSE 60 - (i - 1) % 7 * 5 END AS avg FROM x),
+    r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 8 AS w FROM events UNION ALL SELECT r.user_id, y.i, CASE WHEN avg <= 0 THEN w WHEN rtt <= avg * 1.25 THEN least(64, w + 1) WHEN rtt > avg * 2 THEN greatest(2, CAST(floor(w * 0.6::DOUBLE) AS INTEGER)) ELSE w END FROM r JOIN y ON y.user_id = r.user_id AND y.i = r.i + 1)
+    SELECT user_id, arg_max(w, i) AS w FROM r GROUP BY user_id""",
+)
+add(
+    "write_cap", lambda s, d: V.windows(s, d).select("user_id", T.write_cap(F.col("samples"), F.col("user_id") % 40, S.long(20)).alias("x")).select("user_id", "x.cap", "x.healthy", "x.reason", "x.since", "x.compare"),
+    """WITH RECURSIVE x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id % 60 AS backlog, (event_id * 7919) % 1000 + event_id % 300 AS pressure, coalesce(value, 0) AS rate, (event_id % 40) * 1e9::DOUBLE AS lat, event_id % 29 = 0 AS bp, event_id % 31 = 0 AS bad,
+      greatest(1, least(32, user_id % 40)) AS most FROM events),
+    r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 8 AS cap, 0 AS healthy, 0::DOUBLE AS rate, 0::DOUBLE AS lat, 'init' AS reason, 0 AS since, 20 AS compare FROM events UNION ALL
+      SELECT user_id, i, new_cap, CASE WHEN ok THEN streak ELSE 0 END, now_rate, now_lat, CASE WHEN worse IS NOT NULL THEN worse WHEN grow THEN 'grow' ELSE 'hold' END, CASE WHEN new_cap <> cap THEN 0 ELSE since + 1 END,
+        CASE WHEN worse IS NOT NULL THEN greatest(4, compare // 2) WHEN grow AND compare < 20 THEN compare + 1 ELSE compare END FROM (
+        SELECT *, CAST(greatest(1, least(most, CASE WHEN worse IS NOT NULL THEN greatest(1, cap // 2) WHEN grow THEN cap + 1 ELSE cap END)) AS INTEGER) AS new_cap FROM (
+        SELECT *, ok AND streak >= 2 AND cap < most AS grow FROM (SELECT *, healthy + 1 AS streak, worse IS NULL AND backlog > cap AND (old = 0 OR (now_rate >= rate AND (lat <= 0 OR now_lat <= lat * 1.25))) AND now_lat < 30e9 AS ok FROM (
+        SELECT r.user_id, x.i, r.i AS old, cap, healthy, r.rate, r.lat, since, compare, x.backlog, x.rate AS now_rate, x.lat AS now_lat, x.most, CASE WHEN x.bp THEN 'halve_backpressure' WHEN x.pressure > 1200 THEN 'halve_budget'
+          WHEN r.i > 0 AND x.backlog > 0 AND since >= 1 AND x.rate < 20 THEN 'halve_rate_drop' WHEN r.i > 0 AND x.backlog > 0 AND r.lat > 0 AND x.lat > 15e9 THEN 'halve_latency' WHEN x.bad THEN 'halve_failure' END AS worse
+        FROM r JOIN x ON x.user_id = r.user_id AND x.i = r.i + 1)))))
+    SELECT user_id, arg_max(cap, i) AS cap, arg_max(healthy, i) AS healthy, arg_max(reason, i) AS reason, arg_max(since, i) AS since, arg_max(compare, i) AS compare FROM r GROUP BY user_id""",
+)
 add("retry_budget", lambda s, d: V.user_series(s, d).select("user_id", K.retries(F.transform("values", lambda x: x > 95)).alias("state")), f"SELECT user_id, CASE WHEN s >= 100 THEN 'done' WHEN s > 3 THEN 'failed' ELSE 'pending' END AS state FROM (SELECT user_id, list_reduce(list_transform(v, lambda x: CASE WHEN x > 95 THEN 1 ELSE 0 END), lambda s, ok: CASE WHEN s >= 100 THEN s WHEN ok = 1 THEN 100 ELSE s + 1 END, 0) AS s FROM ({_SER}))")
 add(
     "session_idle_grace", lambda s, d: W.grouped_sessions(V.user_sessions(s, d)),
@@ -210,3 +296,75 @@ add(
     g AS (SELECT a, b, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (ORDER BY a, b) AS g FROM o) SELECT min(a) AS start_ts, max(b) AS end_ts, count(*) AS sessions FROM g GROUP BY g""",
 )
 add("event_rates", lambda s, d: W.rates(V.table(s, d, "events").withColumn("one", F.lit(1)), "1 hour", "one"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_ts, count(*) AS n, CAST(count(*) AS BIGINT) AS total FROM events GROUP BY 1")
+add(
+    "stream_ladders",
+    _line(
+        streams=lambda n, q: T.stream_limit(n % 2000, q % 2 == 0), chunk=lambda n, q: T.chunk_size(q * 2, n * 10, n % 2 == 0), effective=lambda n, q: T.effective_chunk(n * 3, q), flush=lambda n, q: T.flush_threshold(q, n * 5),
+        pool=lambda n, q: T.write_pool(q), hashers=lambda n, q: T.server_hash_workers(n % 3, q % 9), most=lambda n, q: T.most_hash_workers(n % 3 * 50, q), walkers=lambda n, q: T.walk_workers(q % 12),
+    ),
+    _lsql(
+        streams="CASE WHEN q % 2 = 0 THEN 4 ELSE least(1024, greatest(1, n % 2000)) END",
+        chunk="least(68719476736, greatest(65536, CASE WHEN n % 2 <> 0 THEN n * 10 WHEN q * 2 <= 8 THEN 4194304 WHEN q * 2 <= 16 THEN 2097152 WHEN q * 2 <= 32 THEN 1048576 WHEN q * 2 <= 64 THEN 524288 ELSE 262144 END))",
+        effective="greatest(4096, CASE WHEN q <= 16 THEN greatest(n * 3, 1048576) WHEN q <= 32 THEN greatest(n * 3, 524288) ELSE n * 3 END // 4096 * 4096)",
+        flush="CASE WHEN q <= 16 THEN greatest(4194304, n * 20) WHEN q <= 32 THEN greatest(2097152, n * 10) ELSE greatest(524288, n * 5) END", pool="least(32, greatest(8, q))",
+        hashers="CASE WHEN n % 3 <> 0 THEN n % 3 WHEN q % 9 <= 1 THEN 1 ELSE least(16, greatest(2, q % 9 // 2)) END", most="CASE WHEN n % 3 = 0 THEN q ELSE greatest(n % 3 * 50, q * 4) END", walkers="least(16, greatest(1, q % 12) * 2)",
+    ),
+)
+_FILES_IN = "CAST(floor(50000000::DOUBLE * (greatest(q * 3, 1)::DOUBLE / 1000) / {}::DOUBLE + 0.999) AS BIGINT)"
+_MEAN = "least(1048576, greatest(4096, CASE WHEN n % 5 = 0 THEN 16384 ELSE n % 5 * n END))"
+_DMEAN = "least(1048576, greatest(4096, CASE WHEN n % 5 = 0 THEN 262144 ELSE n % 5 * n END))"
+add(
+    "depth_ladders",
+    _line(hash=lambda n, q: T.hash_depth(q * 3, n % 64, n % 5 * n), sig=lambda n, q: T.signature_depth(q * 3, n % 5 * n), streams=lambda n, q: T.wan_streams(q * 3, n % 6, n % 2 == 0, n % 9)),
+    _lsql(
+        hash=f"CASE WHEN q * 3 <= 10 THEN least(8192, greatest(1024, n % 64 * 256)) ELSE least(65536, greatest(1024, n % 64 * 256, {_FILES_IN.format(_MEAN)}, greatest(1, q * 3 // 10) * 8192)) END",
+        sig=f"CASE WHEN q * 3 <= 10 THEN 0 ELSE least(8192, greatest({_FILES_IN.format(_DMEAN)}, greatest(1, q * 3 // 10) * 256, 256)) END",
+        streams="CASE WHEN n % 2 <> 0 OR q * 3 <= 10 THEN n % 6 ELSE greatest(n % 6, least(CASE WHEN q * 3 <= 30 THEN 8 WHEN q * 3 <= 60 THEN 12 ELSE 16 END, 16, greatest(4, greatest(1, n % 9) * 2))) END",
+    ),
+)
+_TIER = "CASE WHEN n % 150000 > 120000 THEN {} WHEN n % 150000 > 60000 THEN {} WHEN n % 150000 > 16000 THEN {} WHEN n % 150000 < 1000 THEN {} ELSE {} END"
+add(
+    "batch_tiers", lambda s, d: _line(t=lambda n, q: T.batch_tiers(n % 150000, q))(s, d).select("l_orderkey", "l_linenumber", "t.*"),
+    _lsql(threshold=f"greatest(CASE WHEN q <= 8 THEN 3200 ELSE 0 END, {_TIER.format(5120, 3840, 2560, 1280, 1920)}) * 1024", max_files=f"greatest(CASE WHEN q <= 8 THEN 12800 ELSE 0 END, {_TIER.format(20480, 15360, 10240, 5120, 7680)})", max_bytes=f"greatest(CASE WHEN q <= 8 THEN 640 ELSE 0 END, {_TIER.format(960, 640, 480, 200, 320)}) * 1048576"),
+)
+_policy = lambda n: F.element_at(F.array(*map(F.lit, ["primary", "aux", "auto"])), (n % 3 + 1).cast("int"))
+_reason = lambda n: F.element_at(F.array(*map(F.lit, ["old_unreadable", "benefit", "reconstruct_io", "verify_fail", "sig_error", "other"])), (n % 6 + 1).cast("int"))
+add(
+    "route_rules",
+    _line(
+        blocks=lambda n, q: P.admits_blocks(n, q % 4, n % 7 == 0, allowed=True, capable=True, threshold=500_000), pinned=lambda n, q: P.forces_primary(n, _policy(n), q / 10, 500_000),
+        after=lambda n, q: P.after_delta_failure(_reason(n), q % 2 == 0), queue=lambda n, q: P.queue_rank(F.element_at(F.array(*map(F.lit, ["retry", "regular", "batch", "retry_batch"])), (n % 4 + 1).cast("int"))),
+        releases=lambda n, q: P.releases_slot(n % 2 == 0, n % 3 == 0, q % 2 == 0), write=lambda n, q: P.write_route(n % 2 == 0, q % 3 > 0), path=lambda n, q: P.write_path(n % 400_000),
+        counted=lambda n, q: F.array_join(F.array(*[P.write_accounting(n % 2 == 0, q % 3 == 0)[c] for c in ("compared", "transferred", "driver", "fast")]), ","),
+        mbps=lambda n, q: F.round(M.throughput_mbps(n, q / 10), 6), wait=lambda n, q: M.mean_wait(n, q % 5),
+    ),
+    _lsql(
+        blocks="n >= 500000 AND q % 4 >= 2 AND n % 7 <> 0", pinned="n >= 500000 AND NOT (n % 3 = 1 OR (n % 3 = 2 AND q >= 20))", after="CASE n % 6 WHEN 4 THEN 'whole' WHEN 5 THEN NULL ELSE CASE WHEN q % 2 = 0 THEN 'blocks' ELSE 'whole' END END",
+        queue="CAST(CASE n % 4 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS INTEGER)", releases="n % 2 <> 0 AND n % 3 = 0 AND q % 2 <> 0", write="CASE WHEN n % 2 = 0 AND q % 3 > 0 THEN 'dispatch' ELSE 'sync_fail' END", path="CASE WHEN n % 400000 <= 262144 THEN 'fast' ELSE 'driver' END",
+        counted="CASE WHEN n % 2 <> 0 THEN '0,0,0,0' WHEN q % 3 = 0 THEN '1,1,0,1' ELSE '1,1,1,0' END", mbps="round(n * 8.0::DOUBLE / greatest(1e-9, q / 10.0::DOUBLE) / 1e6, 6)", wait="CASE WHEN q % 5 > 0 THEN n // (q % 5) ELSE 0 END",
+    ),
+)
+_HEXES = "CASE doc_id % 4 WHEN 0 THEN repeat('FF', 16) WHEN 1 THEN md5(text) WHEN 2 THEN repeat('00', 16) ELSE md5(concat(text, 'x')) END"
+add(
+    "forced_progress",
+    lambda s, d: P.forced(V.table(s, d, "documents").selectExpr("CAST(doc_id AS STRING) AS path", "unhex(CASE WHEN doc_id % 8 = 0 THEN repeat('FF', 16) ELSE md5(text) END) AS local_hash"), V.table(s, d, "documents").filter("doc_id % 5 <> 0").selectExpr("CAST(doc_id AS STRING) AS path", f"unhex({_HEXES}) AS remote_hash")),
+    f"SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN 'TRANSFER' WHEN r <> repeat('FF', 16) AND r = l THEN 'SAME' ELSE 'DIFF' END AS action FROM (SELECT doc_id, {_HEXES} AS r, CASE WHEN doc_id % 8 = 0 THEN repeat('FF', 16) ELSE md5(text) END AS l FROM documents)",
+)
+add("verify_rule", lambda s, d: V.table(s, d, "documents").select("doc_id", P.needs_verify(F.expr(f"unhex({_HEXES})")).alias("verify")), "SELECT doc_id, doc_id % 4 <> 2 AS verify FROM documents")
+_C4, _S4 = "concat('10.', c_custkey % 3, '.', c_custkey % 8 * 30, '.', c_custkey % 250)", "concat('10.', c_nationkey % 3, '.', c_nationkey % 8 * 30, '.', c_nationkey)"
+add(
+    "subnets",
+    lambda s, d: V.table(s, d, "customer").selectExpr("c_custkey", f"{_C4} AS c", f"{_S4} AS s", "c_custkey % 35 AS p", "concat('fe', substr('789abcde', c_custkey % 8 + 1, 1), '0::1%eth0') AS v6", "concat('2001:db8:', c_custkey % 3, '::', c_custkey) AS c6", "concat('[2001:DB8:', c_nationkey % 3, '::', c_nationkey, ']') AS s6").select(
+        "c_custkey", S.same_subnet(F.col("c"), F.col("p"), F.col("s")).alias("same"), S.same_subnet(F.col("c6"), F.when(F.col("p") == 0, 0).otherwise(F.col("p") + 20), F.col("s6")).alias("same6"), S.excluded_address(F.col("v6")).alias("out"), S.family_rank(F.col("v6")).alias("rank"), S.same_subnet(F.col("c"), F.col("p"), F.col("c6")).alias("crossed")),
+    """WITH x AS (SELECT c_custkey, c_custkey % 35 AS p, (10::BIGINT << 24) + (c_custkey % 3 << 16) + (c_custkey % 8 * 30 << 8) + c_custkey % 250 AS a, (10::BIGINT << 24) + (c_nationkey % 3 << 16) + (c_nationkey % 8 * 30 << 8) + c_nationkey AS b, c_custkey % 3 AS u, c_nationkey % 3 AS v FROM customer),
+    y AS (SELECT *, CASE WHEN p BETWEEN 1 AND 32 THEN p ELSE 24 END AS bits, CASE WHEN p = 0 THEN 64 ELSE p + 20 END AS wide FROM x)
+    SELECT c_custkey, a >> CAST(32 - bits AS INTEGER) = b >> CAST(32 - bits AS INTEGER) AS same, CASE WHEN wide >= 48 THEN u = v WHEN wide = 47 THEN u >> 1 = v >> 1 ELSE true END AS same6, c_custkey % 8 BETWEEN 1 AND 4 AS out, 1 AS rank, false AS crossed FROM y""",
+)
+add(
+    "range_lanes", lambda s, d: P.range_lanes(V.table(s, d, "orders").selectExpr("o_custkey % 25 AS grp", "concat('f', o_orderkey % 7) AS path", "o_orderkey AS offset"), V.lanes(s, d), "grp", stream_limit=6),
+)
+add("session_counts", lambda s, d: M.session_counts(V.user_sessions(s, d).withColumn("end_ts", F.expr("CASE WHEN user_id % 3 > 0 THEN end_ts END"))), "SELECT count(*) FILTER (user_id % 3 = 0) AS active, count(*) AS created FROM (SELECT DISTINCT user_id, date_trunc('hour', ts) AS h FROM events)")
+add("slots_and_streams", lambda s, d: V.windows(s, d).select("user_id", K.worker_cap(F.transform("samples", lambda x: F.struct((x["failures"] > 0).alias("failed"), (x["backlog"] > 9).alias("backlog"), (x["rate"] > 30).alias("busy"))), 8, 1, 32).alias("workers"), K.stream_cap(F.transform("samples", lambda x: F.struct((x["in_flight"]).alias("done"), (x["outstanding"] / 10).cast("long").alias("failed"))), 16).alias("streams")),
+    """WITH RECURSIVE x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id % 31 = 0 AS bad, event_id % 60 > 9 AND coalesce(value, 0) > 30 AS more, (event_id * 7919) % 1000 AS done, event_id % 300 // 10 AS failed FROM events),
+    r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 8 AS w, 16 AS s FROM events UNION ALL SELECT r.user_id, x.i, CASE WHEN bad THEN greatest(1, w // 2) WHEN more THEN least(32, w + 1) ELSE w END, CASE WHEN done >= 200 AND failed * 50 > done THEN greatest(4, s // 2) ELSE s END FROM r JOIN x ON x.user_id = r.user_id AND x.i = r.i + 1)
+    SELECT user_id, arg_max(w, i) AS workers, arg_max(s, i) AS streams FROM r GROUP BY user_id""")

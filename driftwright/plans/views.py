@@ -47,15 +47,22 @@ def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Client by server cells on the nation they share."""
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey")
-    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_nationkey")
-    return c.join(s, c.c_nationkey == s.s_nationkey).selectExpr(
-        "c_nationkey AS grp", "concat('c', c_custkey % 4) AS client", "concat('s', s_suppkey % 3) AS server", "CAST(c_custkey * 100000 + s_suppkey AS BIGINT) AS edge", "c_custkey % 2 AS family",
-        "(c_custkey + s_suppkey) % 2 AS subnet", "CAST((c_custkey * 7 + s_suppkey * 13) % 100 AS DOUBLE) AS rtt", "(c_custkey + s_suppkey) % 5 <> 0 AS reachable",
+    """One probed cell for each customer: a client interface, a server interface, and what the probe found."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_nationkey AS grp", "concat('c', c_custkey % 4) AS client", "concat('s', c_nationkey % 3) AS server", "CAST(c_custkey AS BIGINT) AS edge", "c_custkey % 2 AS family",
+        "(c_custkey div 2) % 2 AS subnet", "CAST((c_custkey * 7 + c_nationkey * 13) % 100 AS DOUBLE) AS rtt", "(c_custkey + c_nationkey) % 5 <> 0 AS reachable",
     )
 
 
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as windows of the write-cap controller, in order (a user's events are few)."""
+    e = table(spark, sf_dir, "events")
+    x = F.expr("""struct(event_id % 60 AS backlog, (event_id * 7919) % 1000 AS in_flight, event_id % 300 AS outstanding, 1200L AS budget, coalesce(value, 0D) AS rate,
+        CAST((event_id % 40) * 1000000000L AS DOUBLE) AS latency, event_id % 29 = 0 AS backpressure, CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END AS failures)""")
+    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", x.alias("x")))).alias("r"))
+    return rows.select("user_id", F.transform("r", lambda r: r["x"]).alias("samples"))
+
+
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One session for each user and hour with events."""
     return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")).withColumn("session_id", F.xxhash64("user_id", "h"))

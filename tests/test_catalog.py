@@ -44,5 +44,5 @@ def test_known_counts(spark, mode, counts):
 
 
 def test_fatal_rules_hit_and_miss(spark):
-    got = catalog.QUERIES["fatal_reasons"](spark, SF).selectExpr("event_id % 20 AS k", "fatal").distinct().collect()
+    got = catalog.QUERIES["fatal_errors"](spark, SF).selectExpr("event_id % 20 AS k", "fatal").distinct().collect()
     assert sorted(map(tuple, got)) == [(k, k < 8) for k in range(20)]

@@ -2,47 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: dict[str, str] = {}
+from driftwright.storage import discard, new_path, shared_dir, written  # noqa: F401
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_dir.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="driftwright-"))
-    return base.rstrip("/") + "/driftwright"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._driftwright_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes tables made by written() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_driftwright_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Arrow batches of at most so many rows in the jobs that are run inside: for rows with long values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def release(spark: SparkSession) -> None:
@@ -76,6 +54,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def nested(df: DataFrame, *extra) -> DataFrame:
+    """All columns of df in one struct, held, which no other column can clash with, and extra columns beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("held"), *extra)
+
+
+def unnested(df: DataFrame, like: DataFrame, *names: str) -> DataFrame:
+    """What nested() has put away, without columns that bear one of the names, and the named columns of df."""
+    return df.select(*[F.col(f"held.`{c}`").alias(c) for c in without(like, *names).columns], *names)
+
+
 def filesystem(uri: str):
     """A pyarrow file system and path for a folder in any shared store; usable on driver and executors."""
     from pyarrow import fs

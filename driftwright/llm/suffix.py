@@ -59,14 +59,16 @@ class Shard:
         """The ids of the documents that hold positions."""
         return self.ids[np.searchsorted(self.offs, pos, side="right") - 1]
 
+    def open(self, depth: int) -> np.ndarray:
+        """Whether each position has at least depth bytes left in its document."""
+        ok = np.ones(len(self.data), bool)
+        for x, y in zip(np.maximum(self.offs[:-1], self.offs[1:] - depth + 1).tolist(), self.offs[1:].tolist(), strict=True):
+            ok[x:y] = False
+        return ok
+
     def left(self, depth: int) -> np.ndarray:
         """Positions with at least depth bytes left in their document."""
-        ok = np.zeros(len(self.data) + 1, np.int32)
-        last = self.offs[1:] - depth + 1
-        rows = last > self.offs[:-1]
-        np.add.at(ok, self.offs[:-1][rows], 1)
-        np.add.at(ok, last[rows], -1)
-        return np.flatnonzero(np.cumsum(ok[:-1]))
+        return np.flatnonzero(self.open(depth))
 
 
 def suffix_groups(s: Shard, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +98,7 @@ def suffix_groups(s: Shard, length: int) -> tuple[np.ndarray, np.ndarray]:
         if depth >= length or not len(pos):
             break
         step = min(depth, length - depth)
-        reach = np.zeros(n, bool)  # suffixes with enough bytes left for the next depth
-        reach[s.left(depth + step)] = True
-        live = reach[pos]
+        live = s.open(depth + step)[pos]  # suffixes with enough bytes left for the next depth
         pos, group = pos[live], group[live]
         # Positions that left as singletons keep the rank of their depth, which no other position has.
         key = (group.astype(np.uint64) << np.uint64(32)) | rank[pos + step]
@@ -133,33 +133,68 @@ def common_prefixes(s: Shard, pos: np.ndarray, group: np.ndarray, cap: int) -> n
     limit = np.minimum(limit + cap, most[live])  # enough for every suffix that follows
     first = live
     eight = np.ndarray(max(0, len(s.data) - 7), np.uint64, s.data, strides=(1,))  # eight bytes from each position
-    for width, view in ((8, eight), (1, s.data)):
-        todo = np.arange(len(first))
-        while len(todo):
-            k = first[todo]
+    todo = np.arange(len(first))
+    for width, view, turns in ((8, eight, 16), (1, s.data, 8)):
+        more = todo
+        for _ in range(turns):
+            k = first[more]
             h = lcp[k]
-            same = h + width <= limit[todo]
+            same = h + width <= limit[more]
             same[same] = view[p[k[same]] + h[same]] == view[q[k[same]] + h[same]]
-            todo = todo[same]
-            lcp[k[same]] += width
+            more = more[same]
+            lcp[first[more]] += width
+            if not len(more):
+                break
+        if width == 8:
+            for i in more.tolist():  # a run of many suffixes: by slices
+                k, most_i = first[i], int(limit[i])
+                while lcp[k] < most_i:
+                    h = int(lcp[k])
+                    x, y = (s.data[z[k] + h : z[k] + min(most_i, h + (1 << 14))] for z in (p, q))
+                    other = x != y
+                    at = int(other.argmax())
+                    lcp[k] += at if other[at] else len(x)
+                    if other[at]:
+                        break
     lcp = np.minimum(lcp[first][run] - (np.arange(len(p)) - first[run]), most)
     out[by_text] = np.clip(lcp, 0, cap)
     return out
 
 
-def _window_hashes(s: Shard, width: int) -> np.ndarray:
+def _prefix_sums(s: Shard) -> np.ndarray:
+    """Sums of all bytes' parts in a polynomial hash before each position."""
+    prefix = np.empty(len(s.data) + 1, np.uint64)
+    prefix[0] = 0
+    part = s.data.astype(np.uint64)
+    part += np.uint64(1)
+    part *= _powers("p", _P, len(part))
+    np.cumsum(part, out=prefix[1:])
+    return prefix
+
+
+def _window_hashes(s: Shard, width: int, prefix: np.ndarray | None = None) -> np.ndarray:
     """Hashes of all strings of `width` bytes, by start, whatever documents they cross."""
     n = len(s.data)
     if n < width:
         return np.zeros(0, np.uint64)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((s.data.astype(np.uint64) + np.uint64(1)) * _powers("p", _P, n), out=prefix[1:])
+    prefix = _prefix_sums(s) if prefix is None else prefix
     out = prefix[width:] - prefix[:-width]
-    del prefix
     out *= _powers("pinv", _PINV, n - width + 1)
     return mix(out)
 
 
+def _hashes_at(s: Shard, pos: np.ndarray, width: int) -> np.ndarray:
+    """Hashes, as of _window_hashes, of the strings of `width` bytes at some positions."""
+    if len(pos) * width > 8 * len(s.data):  # so many that all cost less
+        return _window_hashes(s, width)[pos]
+    h = np.zeros(len(pos), np.uint64)
+    for j in range(width - 1, -1, -1):
+        h *= _P
+        h += s.data[pos + j]
+        h += np.uint64(1)
+    return mix(h)
+
+
 def _near(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Indices of hashes that may be wanted: a table of leading bits passes few others on to a search."""
     seen = np.zeros(1 << 20, bool)
@@ -174,14 +209,14 @@ def _found(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
 
 
-def repeating_part(s: Shard, length: int) -> tuple[Shard, np.ndarray, np.ndarray]:
+def repeating_part(s: Shard, length: int, prefix: np.ndarray | None = None) -> tuple[Shard, np.ndarray, np.ndarray]:
     """The bytes that strings of `length` bytes with equal hashes cover, each run of them as a document; where they lie in s; those strings' starts.
 
     Strings that are left out have a hash of their own, so they occur once; those that stay are told
     apart by their bytes.
     """
     pos = s.left(length)
-    hashes = _window_hashes(s, length)[pos] if len(pos) else np.zeros(0, np.uint64)
+    hashes = _window_hashes(s, length, prefix)[pos] if len(pos) else np.zeros(0, np.uint64)
     ordered = np.sort(hashes)
     many = ordered[1:][ordered[1:] == ordered[:-1]]
     near = _near(hashes, many)
@@ -195,10 +230,10 @@ def repeating_part(s: Shard, length: int) -> tuple[Shard, np.ndarray, np.ndarray
     return Shard(s.ids[doc[first]], np.append(first, len(at)), s.data[at]), at, twice
 
 
-def repeats_within(s: Shard, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats_within(s: Shard, length: int, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Whether the string of `length` bytes that starts at each position also starts in a smaller document of the shard, and whether its hash repeats there at all."""
     covered = np.zeros(len(s.data), bool)
-    part, at, twice = repeating_part(s, length)
+    part, at, twice = repeating_part(s, length, prefix)
     again = np.zeros(len(s.data), bool)
     again[twice] = True
     pos, group = suffix_groups(part, length)
@@ -221,19 +256,19 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return x
 
 
-def samples(s: Shard, wanted: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimizers of all wanted strings (flags by start)."""
+def samples(s: Shard, wanted: np.ndarray, length: int, gram: int = GRAM, prefix: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the minimizers of all wanted strings (flags by start): the places of the least 31 bits of a substring's hash, ties included."""
     n, width = len(s.data), length - gram + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = _window_hashes(s, gram)
+        return np.zeros(0, np.int64)
+    hashes = (_window_hashes(s, gram, prefix) >> np.uint64(33)).astype(np.uint32)
+    hashes += np.uint32(1)
     least = _slide(hashes, width, np.minimum)  # of each string, by start
-    least[~wanted[: len(least)]] = 0
+    least[~wanted[: len(least)]] = 0  # less than any hash
     # A position is sampled if some wanted string that holds it has its hash as the least.
-    edge = np.zeros(width - 1, np.uint64)
+    edge = np.zeros(width - 1, np.uint32)
     top = _slide(np.concatenate([edge, least, edge]), width, np.maximum)
-    pos = np.flatnonzero((top == hashes) & (hashes > 0))
-    return pos, hashes[pos]
+    return np.flatnonzero(top == hashes)
 
 
 def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -270,13 +305,17 @@ class _Store:
         with self.store.open_input_stream(f"{self.root}/{name}", compression="zstd") as f:
             return f.read()
 
-    def shard(self, name: str, length: int) -> tuple[Shard, np.ndarray, np.ndarray]:
-        """A shard, its starts covered within it, and the starts still open."""
-        s = Shard.load(self.get(name))
-        covered = np.unpackbits(np.frombuffer(self.get(f"{name}.within"), np.uint8), count=len(s.data)).astype(bool)
-        open_ = np.zeros(len(s.data), bool)
-        open_[s.left(length)] = True
-        return s, covered, open_ & ~covered
+    def shard(self, name: str) -> Shard:
+        return Shard.load(self.get(name))
+
+    def flags(self, name: str, what: str, s: Shard) -> np.ndarray:
+        """A flag for each position of a shard."""
+        return np.unpackbits(np.frombuffer(self.get(f"{name}.{what}"), np.uint8), count=len(s.data)).view(bool)
+
+    def samples(self, name: str, s: Shard) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of a shard's samples."""
+        pos = np.flatnonzero(self.flags(name, "sampled", s))
+        return pos, _hashes_at(s, pos, GRAM)
 
 
 def make_shards(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes: int) -> tuple[str, DataFrame]:
@@ -293,9 +332,12 @@ def make_shards(docs: DataFrame, id_col: str, text_col: str, length: int, shard_
             offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             s = Shard(np.concatenate(ids), offs, np.frombuffer(b"".join(texts), np.uint8))
             files.put(name, s.dump())
-            covered, again = repeats_within(s, length)
-            files.put(f"{name}.within", np.packbits(covered).tobytes())
-            files.put(f"{name}.again", np.packbits(again & ~covered).tobytes())
+            prefix, sampled = _prefix_sums(s), np.zeros(len(s.data), bool)
+            covered, again = repeats_within(s, length, prefix)
+            sampled[samples(s, s.open(length) & ~covered, length, prefix=prefix)] = True
+            for what, flags in (("within", covered), ("again", again & ~covered), ("sampled", sampled)):
+                files.put(f"{name}.{what}", np.packbits(flags).tobytes())
+            del prefix, covered, again, sampled, flags
             trim()
             return pa.RecordBatch.from_pydict({"shard": [name], "bytes": pa.array([len(s.data)], pa.int64())})
 
@@ -335,10 +377,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         files = _Store(folder)
         for batch in batches:
             for name in batch.column("shard").to_pylist():
-                s, _, wanted = files.shard(name, length)
-                hashes = np.unique(samples(s, wanted, length)[1])
+                hashes = np.unique(files.samples(name, files.shard(name))[1])
                 out = _message([(b, name, hashes[x:y].tobytes()) for b, x, y in _cut(_ranges(hashes, owners))])
-                del s, wanted, hashes
+                del hashes
                 trim()
                 yield out
 
@@ -361,10 +402,11 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def contexts(got: pa.Table) -> pa.Table:
         """For each sample that another shard holds, the bytes around it: of equal contexts one, of the smallest document."""
         name = got.column("shard")[0].as_py()
-        s, _, wanted = _Store(folder).shard(name, length)
+        files = _Store(folder)
+        s = files.shard(name)
         held = np.concatenate([np.frombuffer(d, np.uint64).reshape(2, -1) for d in got.column("data").to_pylist()], axis=1)
         held = held[:, np.argsort(held[0])]
-        pos, hashes = samples(s, wanted, length)
+        pos, hashes = files.samples(name, s)
         at = np.minimum(np.searchsorted(held[0], hashes), held.shape[1] - 1)
         shared = held[0][at] == hashes
         pos, hashes, hot = pos[shared], hashes[shared], held[1][at[shared]].astype(bool)
@@ -373,7 +415,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         if hot.any():  # each string on its own, dealt by its hash
             starts = np.unique((pos[hot][:, None] - np.arange(length - GRAM + 1)).ravel())
             starts = starts[(starts >= 0)]
-            starts = starts[wanted[starts]]
+            starts = starts[(s.open(length) & ~files.flags(name, "within", s))[starts]]
             each, _ = _distinct(s, starts, starts, 0, length)
             rows += _pack(name, each, _ranges(mix(_row_hash(each["bytes"], 0, length)), owners), owners)
         return pa.Table.from_batches([_message(rows)])
@@ -408,7 +450,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def finish(got: pa.Table) -> pa.Table:
         name = got.column("shard")[0].as_py()
         files = _Store(folder)
-        s, covered, _ = files.shard(name, length)
+        s = files.shard(name)
+        covered = files.flags(name, "within", s)
         crossed = np.zeros(len(s.data), bool)
         for d in got.column("data").to_pylist():
             said = np.frombuffer(d, answer)
@@ -418,12 +461,11 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         covered |= crossed
         found = np.flatnonzero(crossed)
         if len(found):
-            again = np.unpackbits(np.frombuffer(files.get(f"{name}.again"), np.uint8), count=len(s.data)).astype(bool)
-            spread(s, covered, found, again, length)
+            spread(s, covered, found, files.flags(name, "again", s), length)
         edge = np.zeros(len(s.data) + 1, np.int32)
         starts = np.flatnonzero(covered)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + length, -1)
+        edge[starts] += 1
+        edge[starts + length] -= 1  # starts holds each position once
         gone = np.cumsum(edge[:-1]) > 0
         cols: dict[str, list] = {n: [] for n in ("id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept")}
         for key, a, b in zip(s.ids.tolist(), s.offs[:-1].tolist(), s.offs[1:].tolist(), strict=True):
@@ -531,21 +573,23 @@ def spread(s: Shard, covered: np.ndarray, starts: np.ndarray, again: np.ndarray,
     starts = starts[again[starts]]
     if not len(starts):
         return
-    hashes, ids = _window_hashes(s, length), s.doc_of(starts)
-    order = np.lexsort((ids, hashes[starts]))
-    lead, key, ids = starts[order], hashes[starts][order], ids[order]
+    key, ids = _hashes_at(s, starts, length), s.doc_of(starts)
+    order = np.lexsort((ids, key))
+    lead, key, ids = starts[order], key[order], ids[order]
     pos = np.flatnonzero(again & ~covered)
-    pos = pos[_near(hashes[pos], key)]
-    at = np.searchsorted(key, hashes[pos])
+    hashes = _hashes_at(s, pos, length)
+    near = _near(hashes, key)
+    pos, hashes = pos[near], hashes[near]
+    at = np.searchsorted(key, hashes)
     while len(pos):  # one turn, but for different strings with one hash
         live = at < len(key)
-        live[live] = key[at[live]] == hashes[pos[live]]
-        pos, at = pos[live], at[live]
+        live[live] = key[at[live]] == hashes[live]
+        pos, at, hashes = pos[live], at[live], hashes[live]
         equal = np.ones(len(pos), bool)
         for j in range(length):
             equal &= s.data[pos + j] == s.data[lead[at] + j]
         covered[pos[equal & (s.doc_of(pos) >= ids[at])]] = True
-        pos, at = pos[~equal], at[~equal] + 1
+        pos, at, hashes = pos[~equal], at[~equal] + 1, hashes[~equal]
 
 
 def _pack(name: str, rows: np.ndarray, bucket: np.ndarray, add: int) -> list[tuple]:

@@ -66,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("mix", mix)]
 
-#: The trained language network has no form in SQL; tests/test_pipeline.py checks run() and its stages against plain Python.
+#: The trained language network has no form in SQL; tests/llm/test_pipeline.py checks run() and its stages against plain Python.
 ORACLE_SQL = None
 
 

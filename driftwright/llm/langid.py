@@ -6,8 +6,10 @@ probabilities are the mean over its positions. Texts are cut into segments that
 as lanes of one batch; the state starts anew in each segment, and every byte of every text is read.
 
 The network is trained on the driver by backpropagation through time with Adam, from a bounded
-sample of labelled rows (SAMPLE rows in order of a seeded hash, one segment of each), and broadcast:
-its size is fixed by its shape.
+sample of labelled rows: whole texts, of each language the first in order of a seeded hash. The
+number of steps is fixed and every step draws as many segments of each language, from anywhere in
+its texts, so neither the size of the corpus nor the share of a language decides how well it is
+learned. The network is broadcast: its size is fixed by its shape.
 """
 
 from __future__ import annotations
@@ -16,16 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bytewords import buffers, pieces
 from .common import table, without
 
 HIDDEN = 8
 SEGMENT = 96
-#: Labelled rows that the driver holds for training, at most.
-SAMPLE = 4000
+#: Labelled rows that the driver holds for training, at most, over all languages; bytes of a text of theirs.
+SAMPLE, TRAIN_TEXT = 2000, 1 << 17
 TRAIN_LENGTH = 64
-EPOCHS, BATCH, RATE, SEED = 6, 125, 0.02, 7
+STEPS, BATCH, RATE, SEED = 400, 128, 0.02, 7
 
 
 def _sigmoid(x):
@@ -117,30 +120,31 @@ class ByteGru:
         return g, loss
 
 
-def train(rows: list[tuple[bytes, str]], *, hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> ByteGru:
-    """A network fitted to (bytes, language) rows; of each row one segment, from a seeded place, is used in each epoch."""
+def train(rows: list[tuple[bytes, str]], *, hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> ByteGru:
+    """A network fitted to (bytes, language) rows: each step takes segments from seeded places, as many of each language; the rate falls to a tenth."""
     labels = sorted({lang for _, lang in rows})
     net = ByteGru(labels, hidden, seed)
     rng = np.random.default_rng(seed)
     label = np.array([labels.index(lang) for _, lang in rows])
+    own = [np.flatnonzero(label == k) for k in range(len(labels))]
+    size = np.array([len(raw) for raw, _ in rows])
+    offs = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(raw for raw, _ in rows), np.uint8)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
-    step = 0
-    for _ in range(epochs):
-        x = np.full((TRAIN_LENGTH, len(rows)), 256, np.int64)
-        for i, (raw, _) in enumerate(rows):
-            at = int(rng.integers(0, max(1, len(raw) - TRAIN_LENGTH + 1)))
-            cut = np.frombuffer(raw[at : at + TRAIN_LENGTH], np.uint8)
-            x[: len(cut), i] = cut
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
-            g, _ = net.gradients(x[:, part], label[part])
-            step += 1
-            norm = float(np.sqrt(sum((a * a).sum() for a in g.values())))
-            for k, w in net.p.items():
-                a = g[k] * min(1.0, 1.0 / (norm + 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * a
-                v[k] = 0.99 * v[k] + 0.01 * a * a
-                w -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+    t = np.arange(TRAIN_LENGTH)[:, None]
+    for step in range(1, steps + 1):
+        part = np.concatenate([rng.choice(rows_of, -(-batch // len(own))) for rows_of in own])
+        at = rng.integers(0, np.maximum(1, size[part] - TRAIN_LENGTH + 1))
+        x = np.where(at + t < size[part], data[np.minimum(offs[part] + at + t, len(data) - 1)], 256).astype(np.int64)
+        g, _ = net.gradients(x, label[part])
+        norm = float(np.sqrt(sum((a * a).sum() for a in g.values())))
+        now = rate * (1 - 0.9 * step / steps)
+        for k, w in net.p.items():
+            a = g[k] * min(1.0, 1.0 / (norm + 1e-9))
+            m[k] = 0.9 * m[k] + 0.1 * a
+            v[k] = 0.99 * v[k] + 0.01 * a * a
+            w -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
     return net
 
 
@@ -197,27 +201,39 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, *, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> ByteGru | None:
+def fit(docs: DataFrame, *, sample: int = SAMPLE, most_bytes: int = TRAIN_TEXT, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> ByteGru | None:
     """A network trained on at most `sample` labelled rows that are not held out; None without any.
 
-    The rows are the first by a hash of their id; only a bounded piece around a seeded place of a long
-    text is taken. Tasks sort only rows whose hash is below a bound that leaves about twice the sample
-    (widened if it leaves less), so what reaches the driver does not grow with the number of tasks.
+    The rows are whole texts, of each language the first by a hash of their id, as many of each as the
+    sample has room for; a text of more than `most_bytes` is no training row unless its language has
+    no other. Tasks pass on only rows whose hash is below a bound of their language that leaves about
+    twice its part (widened if it leaves less), so what reaches the driver does not grow with the
+    number of tasks or of documents.
     """
-    rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED))
-    at = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col(id_col).cast("string")), F.greatest(F.lit(1).cast("long"), F.length(text_col).cast("long") - 4 * TRAIN_LENGTH)).cast("int")
-    piece = F.encode(F.substr(F.col(text_col), at + 1, F.lit(4 * TRAIN_LENGTH)), "UTF-8")
-    picked = rows.select(order.alias("o"), F.col(id_col).cast("string").alias("i"), piece.alias("t"), F.col(lang_col).alias("l"))
-    total, factor = rows.count(), 2
-    while True:
-        share = min(1.0, factor * sample / max(1, total))
-        near = picked if share == 1 else picked.filter(F.col("o") < int(share * 2**64) - 2**63)
-        found = near.orderBy("o", "i", "l", "t").limit(sample).collect()
-        if share == 1 or len(found) == sample:
-            break
+    rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED)).alias("o"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    fits = F.octet_length("t") <= most_bytes
+    counts = rows.groupBy("l").agg(F.count_if(fits).alias("n"), F.min_by("i", F.struct(F.octet_length("t"), "o", "i")).alias("least")).collect()
+    counts = sorted(counts, key=lambda c: c["l"])[:sample]
+    each, factor, found = max(1, sample // max(1, len(counts))), 2, []
+    alone = [c for c in counts if not c["n"]]  # only long texts: the shortest
+    todo = {c["l"]: c["n"] for c in counts if c["n"]}
+    while todo:
+        share = {lang: min(1.0, factor * each / n) for lang, n in todo.items()}
+        spark = docs.sparkSession
+        bound = spark.createDataFrame([(lang, None if x == 1 else int(x * 2**64) - 2**63) for lang, x in share.items()], "l string, bound long")
+        near = rows.filter(fits).join(F.broadcast(bound), "l").filter("bound IS NULL OR o < bound")
+        first = near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("o", "i", "t"))).filter(F.col("k") <= each)
+        got = first.select("l", "t").collect()
+        for lang in list(todo):
+            mine = [r["t"] for r in got if r["l"] == lang]
+            if share[lang] == 1 or len(mine) == each:
+                found += [(t.encode(), lang) for t in mine]
+                del todo[lang]
         factor *= 4
-    return train([(bytes(r["t"]), r["l"]) for r in found]) if found else None
+    for c in alone:
+        found += [(r["t"].encode(), c["l"]) for r in rows.filter((F.col("l") == c["l"]) & F.col("i").eqNullSafe(c["least"])).limit(1).collect()]
+    return train(sorted(found)) if found else None
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

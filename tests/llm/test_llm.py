@@ -89,15 +89,19 @@ def test_suffix_dedup_of_texts_that_repeat_themselves(spark):
     assert sorted(have) == sorted(suffix.brute_force(rows))
 
 
-def test_language_sample_has_the_first_rows_by_hash(spark, monkeypatch):
+def test_language_sample_has_the_first_rows_of_each_language_by_hash(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(langid, "train", lambda rows: seen.append(rows))
-    rows = [(i, f"text {i}", "xy"[i % 2]) for i in range(300)]
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(sorted(rows)))
+    rows = [(i, f"text {i}", "xy"[i % 5 == 0]) for i in range(300)] + [(900, "z" * 200, "z"), (901, "z" * 300, "z"), (902, None, "x"), (903, "", "x"), (904, "x", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for sample in (5, 40, 1000):
-        langid.fit(df, sample=sample)
-    assert seen[0] == seen[2][:5] and seen[1] == seen[2][:40]
-    assert len(seen[2]) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(300))
+    order = {x["doc_id"]: x["o"] for x in df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(langid.SEED)).alias("o")).collect()}
+    mine = sorted((x for x in rows if x[1] and x[2] and zlib.crc32(str(x[0]).encode()) % 3 != 1), key=lambda x: order[x[0]])
+    for sample in (6, 45, 3000):
+        langid.fit(df, sample=sample, most_bytes=250)
+        short = [x for x in mine if len(x[1]) <= 250]
+        langs = {x[2] for x in mine}
+        want = [x for lang in langs for x in ([y for y in short if y[2] == lang] or [y for y in mine if y[2] == lang][:1])[: sample // len(langs)]]
+        assert seen.pop() == sorted((t.encode(), lang) for _, t, lang in want)
 
 
 def test_licenses(spark):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, without, written
+from .common import nested, table, unnested, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPOCHS = 3
@@ -115,14 +115,17 @@ def mix_sources(docs: DataFrame, weights: dict, *, size_col: str, sources_col: s
     sources_col: array of source keys (strings; null is a source of its own, None in weights). Every
     row's taken is its size times the whole repetitions its pattern gets, plus, for the rows first in
     seeded order, once more; the one row on the border is taken in part, so each pattern gives
-    exactly the tokens routed. Rows of size 0 and empty tables give 0. Equal rows are told apart
-    only by order_cols; ties get their taken tokens in any order, equal in sum.
+    exactly the tokens routed. Rows of size 0 or null and empty tables give 0. Equal rows are told
+    apart only by order_cols; ties get their taken tokens in any order, equal in sum. Columns that
+    bear a result's name are replaced, all others carried along, whatever their names.
     """
-    docs = without(docs, "pattern", "taken")
-    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct(sources_col)).alias("s")), {"ignoreNullFields": "false"})
-    docs = docs.withColumn("pattern", pattern).withColumn("_order", F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order_cols])))
-    docs = docs.withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
-    sums = written(docs.groupBy("pattern", "_bucket").agg(F.sum(size_col).alias("size"), F.first(sources_col).alias("sources")), "mix-buckets")
+    given = docs
+    docs = nested(docs, F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"), F.coalesce(F.col(sources_col), F.array(F.lit(None).cast("string"))).alias("sources"), *[F.col(c).alias(f"order{i}") for i, c in enumerate(order_cols)])
+    order = [f"order{i}" for i in range(len(order_cols))]
+    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct("sources")).alias("s")), {"ignoreNullFields": "false"})
+    docs = docs.withColumn("pattern", pattern).withColumn("place", F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])))
+    docs = docs.withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
+    sums = written(docs.groupBy("pattern", "bucket").agg(F.sum("size").alias("size"), F.first("sources").alias("sources")), "mix-buckets")
     found = sums.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -134,22 +137,22 @@ def mix_sources(docs: DataFrame, weights: dict, *, size_col: str, sources_col: s
             sizes[s] = sizes.get(s, 0) + n
     wanted = targets(sizes, weights(sorted(sizes, key=lambda s: (s is None, s or ""))) if callable(weights) else weights)
     flow = route(capacity, members, _whole(wanted))
-    given: dict[str, int] = {}
+    wants: dict[str, int] = {}
     for (p, _), n in flow.items():
-        given[p] = given.get(p, 0) + n
+        wants[p] = wants.get(p, 0) + n
     spark = docs.sparkSession
     plan = spark.createDataFrame(
-        [(p, capacity[p], given.get(p, 0), float(sum(wanted[s] for s in members[p])), sum(sizes[s] for s in members[p])) for p in capacity], "pattern string, _size long, _given long, target double, source_size long"
+        [(p, capacity[p], wants.get(p, 0), float(sum(wanted[s] for s in members[p])), sum(sizes[s] for s in members[p])) for p in capacity], "pattern string, capacity long, wants long, target double, source_size long"
     )
     # The prefix sum of a row in seeded order: of the buckets before its own, and within its bucket.
-    buckets = sums.select("pattern", "_bucket", (F.sum("size").over(Window.partitionBy("pattern").orderBy("_bucket")) - F.col("size")).alias("_before")).join(plan, "pattern")
-    out = docs.join(buckets, ["pattern", "_bucket"])
-    before = F.col("_before") + F.sum(size_col).over(Window.partitionBy("pattern", "_bucket").orderBy("_order", *order_cols).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size_col)
-    whole = F.expr("CASE WHEN _size > 0 THEN _given div _size ELSE 0L END")
-    rest = F.expr("CASE WHEN _size > 0 THEN _given % _size ELSE 0L END")
-    taken = whole * F.col(size_col) + F.greatest(F.lit(0).cast("long"), F.least(F.col(size_col), rest - F.col("_first")))
-    out = out.withColumn("_first", before).withColumn("taken", taken.cast("long"))
-    return out.drop("_order", "_bucket", "_size", "_given", "_before", "_first")
+    buckets = sums.select("pattern", "bucket", (F.sum("size").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("size")).alias("before")).join(plan, "pattern")
+    out = docs.join(buckets, ["pattern", "bucket"])
+    first = F.col("before") + F.sum("size").over(Window.partitionBy("pattern", "bucket").orderBy("place", *order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    whole = F.expr("CASE WHEN capacity > 0 THEN wants div capacity ELSE 0L END")
+    rest = F.expr("CASE WHEN capacity > 0 THEN wants % capacity ELSE 0L END")
+    out = out.withColumn("first", first)
+    out = out.withColumn("taken", (whole * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("first")))).cast("long"))
+    return unnested(out, given, "source_size", "target", "taken")
 
 
 def _whole(wanted: dict) -> dict:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, table, without
+from .common import ascii_lower, nested, table, unnested, written
 
 BITS_PER_KEY = 16
 #: 2^17 blocks of 64 bytes are 8 MB; four million listed expressions keep 16 bits each.
@@ -70,15 +70,14 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     with the rule's; the longest wins (ties: the smaller text). listed: one column of canonical URLs
     to block; a url that no rule fits is blocked if its canonical form is listed, else allowed.
     Null urls and those without :// have an empty host and path, no rule, and are allowed. Repeated
-    rows are kept; columns of pages that bear a result's name are replaced.
+    rows are kept; columns of pages that bear a result's name are replaced, all others carried along,
+    whatever their names. Very long urls are judged whole; an empty table gives an empty one.
     """
     spark = pages.sparkSession
-    pages = without(pages, "host", "path", "rule", "verdict")
-    host, path = host_path(F.col(url_col))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("key", "says", "rule")])
     rule_rows = spark.createDataFrame([(h + p, v, h + p) for v, h, p in rules], schema)
     exact = listed.select(F.concat(F.lit("="), F.col(listed.columns[0])).alias("key")).filter("key is not null").distinct().select("key", F.lit("block").alias("says"), F.lit(None).cast("string").alias("rule"))
-    keys = rule_rows.unionByName(exact)
+    keys = written(rule_rows.unionByName(exact), "url-keys")  # read to be counted, filtered and joined
 
     urls = pages.select(F.col(url_col).alias("url")).filter(F.instr("url", "://") > 0).distinct()
     urls = urls.select("url", *(c.alias(n) for c, n in zip(host_path(F.col("url")), ("host", "path"), strict=True)))
@@ -97,9 +96,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     hits = found.join(keys.hint("shuffle_hash"), "key")
     # The longest rule, then the smaller text; a whole-url entry has no rule and loses to any.
     best = hits.groupBy("url").agg(F.min(F.struct((-F.coalesce(F.length("rule"), F.lit(0))).alias("order"), "rule", "says")).alias("best"))
-    verdicts = best.select(F.col("url").alias("_url"), F.col("best.rule").alias("rule"), F.col("best.says").alias("says"))
-    out = pages.withColumns({"host": host, "path": path}).join(verdicts, F.col(url_col) == F.col("_url"), "left")
-    return out.withColumn("verdict", F.coalesce("says", F.lit("allow"))).drop("says", "_url")
+    verdicts = best.select("url", F.col("best.rule").alias("rule"), F.col("best.says").alias("says"))
+    out = nested(pages, F.col(url_col).alias("url")).join(verdicts, "url", "left")
+    host, path = host_path(F.col("url"))
+    return unnested(out.withColumns({"host": host, "path": path, "verdict": F.coalesce("says", F.lit("allow"))}), pages, "host", "path", "rule", "verdict")
 
 
 def shared_canonicals(pages: DataFrame, *, url_col: str = "url", least: int = 2) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,12 +123,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
     A null or empty text has no words and is never contaminated. Null items are named "null"; items
     without words match nothing; repeated items count once. An empty benchmark hits nothing. Columns
-    of docs that bear a result's name are replaced. Rows are kept one for one, repeated rows too.
+    of docs that bear a result's name are replaced. Rows are kept one for one, repeated rows too. Texts
+    of any length are searched whole; an empty table gives an empty one.
     """
     docs = without(docs, "n_words", "n_hit", "hits", "item_ids", "contaminated")
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "item_ids": F.array().cast("array<string>")})
     spark = docs.sparkSession
-    for patterns in list(_chunks(benchmark, item_col, benchmark_text)) or [[]]:
+    chunks = _chunks(benchmark, item_col, benchmark_text)
+    for patterns in chain([next(chunks, [])], chunks):  # the driver holds one chunk at a time
         out = out.mapInArrow(_search(spark.sparkContext.broadcast(patterns), text_col), out.schema)
     signed = F.transform("hits", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))  # starts and ends of ranges that do not overlap
     hit = F.aggregate(signed, F.lit(0).cast("long"), lambda n, x: n + x)

@@ -193,21 +193,25 @@ class _Reader(DataSourceReader):
                 time.sleep(0.1 * 2**attempt)
         held, size = [], 0
         file = store.open_input_file(path)
-        for m in members:
-            media, error = None, None
-            for attempt in range(self.retries):
-                try:
-                    media, error = member_at(file, m), None
-                    break
-                except (OSError, ValueError) as e:  # this member alone, by its offset, on a new handle
-                    error = str(e)
-                    time.sleep(0.05 * 2**attempt)
-                    file = store.open_input_file(path)
-            held.append((m.filename or None, partition.archive, m.header_offset, media, error))
-            size += len(media or b"")
-            if size >= self.batch_bytes:
-                yield _batch(held)
-                held, size = [], 0
+        try:
+            for m in members:
+                media, error = None, None
+                for attempt in range(self.retries):
+                    try:
+                        media, error = member_at(file, m), None
+                        break
+                    except (OSError, ValueError) as e:  # this member alone, by its offset, on a new handle
+                        error = str(e)
+                        time.sleep(0.05 * 2**attempt)
+                        file.close()
+                        file = store.open_input_file(path)
+                held.append((m.filename or None, partition.archive, m.header_offset, media, error))
+                size += len(media or b"")
+                if size >= self.batch_bytes:
+                    yield _batch(held)
+                    held, size = [], 0
+        finally:
+            file.close()
         if held:
             yield _batch(held)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,21 +84,25 @@ def slices(rows: DataFrame, length_col: str, slice_len: int, offset_col: str | N
 def packed(files: DataFrame, group: str, *, max_files: int, max_bytes: int) -> DataFrame:
     """batch number within each group: a batch closes once it has max_files files or max_bytes bytes (the last file may overshoot).
 
-    A running fold resets where a batch closes, which no window frame does, so each group is folded
-    as one sorted array; groups are directories or hash ranges of bounded size.
+    A running fold resets where a batch closes, which no window frame does, so rows pass in order of
+    group and path through one loop a task, which keeps two counters and no group.
     """
-    one = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("rows"))
-
-    def step(acc, x):
-        full = (acc["n"] >= max_files) | (acc["bytes"] >= max_bytes)
-        batch = acc["batch"] + F.when(full, 1).otherwise(0)
-        row = F.struct(x["path"].alias("path"), x["size"].alias("size"), batch.alias("batch"))
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), (F.when(full, long(0)).otherwise(acc["bytes"]) + x["size"]).alias("bytes"), F.concat(acc["out"], F.array(row)).alias("out")
-        )
-
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), long(0).alias("bytes"), F.array().cast("array<struct<path:string,size:bigint,batch:int>>").alias("out"))
-    return one.select(group, F.inline(F.aggregate("rows", start, step, lambda acc: acc["out"])))
+    rows = files.select(group, "path", "size")
+
+    def run(batches):
+        last, batch, n, held = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for g, size in zip(b.column(group).to_pylist(), b.column("size").to_pylist(), strict=True):
+                if g != last:
+                    last, batch, n, held = g, 0, 0, 0
+                elif n >= max_files or held >= max_bytes:
+                    batch, n, held = batch + 1, 0, 0
+                n, held = n + 1, held + (size or 0)
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "batch"])
+
+    return rows.repartition(group).sortWithinPartitions(group, "path").mapInArrow(run, rows.withColumn("batch", F.lit(0)).schema)
 
 
 def sync_counters(done: DataFrame) -> DataFrame:

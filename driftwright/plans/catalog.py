@@ -140,7 +140,12 @@ _ODD = f"a AS ({_DIRS.format('rm')}), o AS (SELECT dir FROM a UNION ALL SELECT d
 add("deepest_dirs", lambda s, d: P.deepest(_odd(s, d)), f"WITH rm AS ({_RM}), {_ODD}, n AS (SELECT dir, lead(dir) OVER (ORDER BY dir) AS nxt FROM o) SELECT dir FROM n WHERE NOT coalesce(starts_with(nxt, dir || '/'), false)")
 add("extra_dirs", lambda s, d: P.extra_dirs(V.directories(V.remote_manifest(s, d)), V.directories(V.local_manifest(s, d))), f"WITH rm AS ({_RM}), lm AS ({_LM}) SELECT dir FROM ({_DIRS.format('lm')}) WHERE dir NOT IN ({_DIRS.format('rm')})")
 add("block_slices", lambda s, d: P.slices(V.remote_manifest(s, d), "size", 4096).select("path", "offset", "len"), f"WITH rm AS ({_RM}), x AS (SELECT path, size, unnest(range(0, size, 4096)) AS o FROM rm WHERE size > 0) SELECT path, o AS offset, least(4096, size - o) AS len FROM x")
-add("batch_pack", lambda s, d: P.packed(V.remote_manifest(s, d).withColumn("dir", S.parent_dir(F.col("path"))), "dir", max_files=8, max_bytes=8192))
+add(
+    "batch_pack", lambda s, d: P.packed(V.remote_manifest(s, d).withColumn("dir", S.parent_dir(F.col("path"))), "dir", max_files=8, max_bytes=8192),
+    f"""WITH RECURSIVE rm AS ({_RM}), f AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, path, size, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY path) AS i FROM rm),
+    r AS (SELECT dir, path, size, i, 0 AS batch, 1 AS n, size AS held FROM f WHERE i = 1 UNION ALL SELECT f.dir, f.path, f.size, f.i, CASE WHEN r.n >= 8 OR r.held >= 8192 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 8 OR r.held >= 8192 THEN 1 ELSE r.n + 1 END,
+      CASE WHEN r.n >= 8 OR r.held >= 8192 THEN f.size ELSE r.held + f.size END FROM r JOIN f ON f.dir = r.dir AND f.i = r.i + 1) SELECT dir, path, size, batch FROM r""",
+)
 
 
 def _line(**cols):

@@ -273,9 +273,9 @@ add(
 )
 _SER = "SELECT user_id, list(coalesce(value, 0) ORDER BY ts, event_id) AS v FROM events GROUP BY user_id"
 add("ewma", lambda s, d: V.user_series(s, d).select("user_id", F.round(K.ewma(F.col("values")), 6).alias("ewma")), f"SELECT user_id, round(list_reduce(v, lambda a, x: CASE WHEN a <= 0 THEN x ELSE a * 0.8::DOUBLE + x * 0.2::DOUBLE END, 0::DOUBLE), 6) AS ewma FROM ({_SER})")
-_rtts = F.transform("values", lambda x, i: F.struct(x.alias("rtt"), F.when(i % 11 == 0, 0.0).otherwise(F.lit(60.0) - i % 7 * 5).alias("average")))
+_rtts = lambda: F.transform("values", lambda x, i: F.struct(x.alias("rtt"), F.when(i % 11 == 0, 0.0).otherwise(F.lit(60.0) - i % 7 * 5).alias("average")))
 add(
-    "net_window", lambda s, d: V.user_series(s, d).select("user_id", K.net_window(_rtts, 8, 2, 64).alias("w")),
+    "net_window", lambda s, d: V.user_series(s, d).select("user_id", K.net_window(_rtts(), 8, 2, 64).alias("w")),
     """WITH RECURSIVE x AS (SELECT user_id, coalesce(value, 0) AS rtt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), y AS (SELECT *, CASE WHEN (i - 1) % 11 = 0 THEN 0 ELSE 60 - (i - 1) % 7 * 5 END AS avg FROM x),
     r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 8 AS w FROM events UNION ALL SELECT r.user_id, y.i, CASE WHEN avg <= 0 THEN w WHEN rtt <= avg * 1.25 THEN least(64, w + 1) WHEN rtt > avg * 2 THEN greatest(2, CAST(floor(w * 0.6::DOUBLE) AS INTEGER)) ELSE w END FROM r JOIN y ON y.user_id = r.user_id AND y.i = r.i + 1)
     SELECT user_id, arg_max(w, i) AS w FROM r GROUP BY user_id""",

@@ -51,8 +51,8 @@ BLOCK_CELLS = 1 << 22
 #: Bytes of cells that are searched at once, about, and rows of an Arrow batch that holds whole sets.
 RUN_BYTES = 8 << 20
 SET_ROWS = 256
-#: Pairs that a task passes on at once.
-PAIRS_OUT = 1 << 16
+#: Pairs that a task holds before it passes them on (24 bytes each), and rows of a family's cells that one task gets, about.
+PAIRS_OUT, FAMILY_ROWS = 1 << 20, 1 << 16
 
 
 #: Bytes of text that are turned into sets at once, so that the arrays stay in the cache; a longer text stands alone.
@@ -329,7 +329,7 @@ def _runs(batches, names: tuple, keys: int = 1):
 
 
 def cells(nodes: DataFrame) -> DataFrame:
-    """cell and sig of all cells with two nodes or more. Shingles whose cells have the same nodes are one cell, named by a hash of these nodes."""
+    """cell, family and sig of all cells with two nodes or more. Shingles whose cells have the same nodes are one cell, named by a hash of these nodes; cells with the same first node by hash are a family."""
 
     def run(batches):
         for token, sig in _runs(batches, ("token", "sig")):
@@ -344,10 +344,11 @@ def cells(nodes: DataFrame) -> DataFrame:
             kept = np.zeros(len(start), bool)
             kept[np.unique(name, return_index=True)[1]] = True
             kept = np.repeat(kept, size)
-            yield pa.RecordBatch.from_pydict({"cell": np.repeat(name, size)[kept], "sig": sig[kept]})
+            family = np.minimum.reduceat(mix(sig.view(np.uint64)), start).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"cell": np.repeat(name, size)[kept], "family": np.repeat(family, size)[kept], "sig": sig[kept]})
 
     each = nodes.select(F.explode("tokens").alias("token"), "sig")
-    return each.repartition("token").sortWithinPartitions("token").mapInArrow(run, "cell long, sig long").distinct()
+    return each.repartition("token").sortWithinPartitions("token").mapInArrow(run, "cell long, family long, sig long").distinct()
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -425,42 +426,60 @@ def _meet(cell_rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, how:
     def pairs(cols):
         cell, s, t, side, sig, n, label, vec = cols
         p, group = Points(n, vec), (cell, s, t)
-        held, size = [], 0
         for i, j, bound in _leaders(p, sig, label, group, percent) if how == "leaders" else _trees(p, sig, label, group, side, percent):
             if how == "nearest":
                 i, j, bound = _best(sig, n, (i, j, bound))
-            held.append((sig[i], sig[j], bound))
-            size += len(i)
-            if size > PAIRS_OUT:
-                yield held
-                held, size = [], 0
-        if size:
-            yield held
+            if len(i):
+                yield [(sig[i], sig[j], bound)]
+
+    def reduced(held):
+        """Each pair once; of nearest ones the best of each node."""
+        a, b, share = (np.concatenate(x) for x in zip(*held, strict=True))
+        if how == "nearest":
+            order = np.lexsort((b, -share, a))
+            a, b, share = a[order], b[order], share[order].astype(np.float64)
+            new = np.append(True, a[1:] != a[:-1])
+        else:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            share = np.zeros(len(a))
+        return a[new], b[new], share[new]
 
     def run(batches):
+        held, size, least = [], 0, PAIRS_OUT  # the cells of a family share pairs, so a task holds them as long as they are few
         for cols in _runs(batches, names, 3):
-            for held in pairs(cols):
-                a, b, share = (np.concatenate(x) for x in zip(*held, strict=True))
-                if how == "nearest":
-                    yield pa.RecordBatch.from_pydict({"a": a, "b": b, "share": share.astype(np.float64)})
-                    continue
-                a, b = np.minimum(a, b), np.maximum(a, b)
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-                yield pa.RecordBatch.from_pydict({"a": a[new], "b": b[new]})
+            for found in pairs(cols):
+                held += found
+                size += sum(len(x[0]) for x in found)
+                if size > least:
+                    held = [reduced(held)]
+                    size = len(held[0][0])
+                    if 2 * size > least:
+                        yield batch_of(held[0])
+                        held, size = [], 0
+        if size:
+            yield batch_of(reduced(held))
+
+    def batch_of(x):
+        cols = dict(zip(("a", "b", "share"), x, strict=True))
+        return pa.RecordBatch.from_pydict(cols if how == "nearest" else {c: cols[c] for c in "ab"})
 
     known = nodes.select("sig", "n", "vec")
     if labels is not None:
         known = known.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
     known = known.withColumn("label", F.coalesce("label", "sig") if labels is not None else F.col("sig"))
+    # Tasks get the cells of a family together, or parts of a large one, so that pairs that meet in many cells are passed on once.
+    families = cell_rows.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("parts")).filter("parts > 1")
     # A large cell is dealt into blocks: each has leaders of its own, and each two of them are joined in a task.
     large = cell_rows.groupBy("cell").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("blocks")).filter("blocks > 1")
     own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     each = cell_rows.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
     each = each.withColumn("other", F.col("own") if how == "leaders" else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("cell", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sig")
-    each = each.join(known, "sig").select(*names).repartition("cell", "s", "t").sortWithinPartitions("cell", "s", "t")
+    each = each.join(families, "family", "left").select("cell", "family", "parts", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sig")
+    part = F.pmod(F.xxhash64("cell", "s", "t"), F.coalesce("parts", F.lit(1)))
+    each = each.join(known, "sig").withColumn("part", part).repartition("family", "part").sortWithinPartitions("cell", "s", "t").select(*names)
     if how != "nearest":
         return each.mapInArrow(run, "a long, b long").distinct()
     best = each.mapInArrow(run, "a long, b long, share double").groupBy("a").agg(F.max(F.struct("share", "b"))["b"].alias("b"))

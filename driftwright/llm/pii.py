@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without, written
+from .common import discard, table, without, written
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: Fixed patterns of the base kinds. \G lets a match begin right after the one before it, where the look-behind would not.
@@ -40,10 +40,18 @@ ROUNDS = 3
 #: Confidence from which a pattern discovers, and the different seed instances it needs.
 CONFIDENCE, SUPPORT = 0.8, 3
 LEAST_LENGTH = 6
+#: Matches that a fold gathers before it adds them to those before.
+CHUNK = 128
+#: Copies of a text are dealt into so many parts when context spans are joined to them; up to this many texts with this many such spans those are broadcast (some 50 MB at the very most).
+SALT, MOST_TEXTS, MOST_SPANS = 16, 100_000, 400_000
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, gap): the non-overlapping matches from left to right, in code points."""
+    """Array of (start, end, value, gap): the non-overlapping matches from left to right, in code points.
+
+    The fold adds to a short array, which joins the long one when it is full, so a text with very
+    many matches does not copy all of them at each one.
+    """
     both = rf"(?s)\G(.*?)({pattern}|\z)"
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(both), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(both), F.lit(2)).alias("value"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,gap:string>>")
@@ -52,9 +60,12 @@ def _matches(text: Column, pattern: str) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         found = F.when(F.length(x["value"]) > 0, F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["gap"].alias("gap")))).otherwise(none)
-        return F.struct(end.alias("at"), F.concat(acc["found"], found).alias("found"))
+        full = F.size(acc["last"]) >= CHUNK
+        found = F.when(full, found).otherwise(F.concat(acc["last"], found))
+        return F.struct(end.alias("at"), F.when(full, F.concat(acc["found"], acc["last"])).otherwise(acc["found"]).alias("found"), found.alias("last"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"), none.alias("last"))
+    return F.aggregate(pairs, start, step, lambda acc: F.concat(acc["found"], acc["last"]))
 
 
 def _digits(value: Column) -> Column:
@@ -92,14 +103,16 @@ def base_spans(text: Column) -> Column:
 def _candidates(docs: DataFrame, text_col: str) -> DataFrame:
     """text_key, start, end, token, pattern, kind (of the base span it touches, or null) of every identifier-like token."""
     texts = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.md5(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    tokens = texts.select("text_key", base_spans(F.col("text")).alias("base"), F.explode(_matches(F.col("text"), TOKEN)).alias("m"))
-    tokens = tokens.select("text_key", "base", "m.*").filter(F.length("value") >= LEAST_LENGTH)
-    touching = F.filter("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
+    found = texts.select("text_key", base_spans(F.col("text")).alias("base"), F.filter(_matches(F.col("text"), TOKEN), lambda m: F.length(m["value"]) >= LEAST_LENGTH).alias("tokens"))
+    # The kind is found inside the array: rows that carried all spans of their text would grow with the square of them.
+    touched = lambda m: F.get(F.filter("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])), F.lit(0))["kind"]
+    tokens = found.select("text_key", F.inline(F.transform("tokens", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["gap"].alias("gap"), touched(m).alias("kind")))))
     shape = F.when(F.contains("value", F.lit("@")), "at").when(F.col("value").rlike(r"^[0-9]+(\.[0-9]+){3}"), "dotted").when(F.col("value").rlike(r"^[0-9() +.-]+$"), "digits").otherwise("mixed")
     words = F.slice(F.reverse(F.split(F.lower(F.rtrim("gap")), r"\s+")), 1, 2)
-    return tokens.select(
-        "text_key", "start", "end", F.col("value").alias("token"), F.concat_ws(" ", F.reverse(words), F.concat(F.lit("#"), shape)).alias("pattern"), F.get(touching, F.lit(0))["kind"].alias("kind")
+    each = tokens.select(
+        "text_key", "start", "end", F.col("value").alias("token"), F.concat_ws(" ", F.reverse(words), F.concat(F.lit("#"), shape)).alias("pattern"), "kind"
     )
+    return each.dropDuplicates(["text_key", "start"])  # each different text once; copies in a task fall together before the shuffle
 
 
 def discovered(candidates: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -108,35 +121,47 @@ def discovered(candidates: DataFrame, *, rounds: int = ROUNDS, confidence: float
     Every round is a pair of hash aggregations over distinct edges; edges of a hot pattern are
     pre-aggregated where they lie, and only scores of distinct patterns and tokens are joined.
     """
-    edges = written(candidates.groupBy("pattern", "token").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("here")), "pii-edges")
+    rows = candidates.count()
+    edges = written(candidates.groupBy("pattern", "token").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("here")), "pii-edges", rows=rows)
     seeds = edges.groupBy("token").agg(F.max("here").alias("seed"))
-    scores = written(seeds.select("token", "seed", F.col("seed").alias("score")), "pii-scores")
-    used = [scores]
+    scores, used = written(seeds.select("token", "seed", F.col("seed").alias("score")), "pii-scores", rows=rows), []
     for _ in range(rounds):
         patterns = edges.join(scores, "token").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("belief"), F.sum("seed").alias("support"))
-        patterns = written(patterns, "pii-patterns")
+        patterns = written(patterns, "pii-patterns", rows=rows)
         strong = F.when(F.col("support") >= support, F.col("belief")).otherwise(0.0)
         best = edges.join(patterns, "pattern").groupBy("token").agg(F.max(strong).alias("best"))
-        scores = written(scores.select("token", "seed").join(best, "token").select("token", "seed", F.greatest("seed", "best").alias("score")), "pii-scores")
-        used += [patterns, scores]
-    good = patterns.filter((F.col("belief") >= confidence) & (F.col("support") >= support)).select("pattern")
-    return edges.join(good, "pattern").join(scores.filter((F.col("seed") < 1) & (F.col("score") >= confidence)).select("token"), "token").select("pattern", "token")
+        before, scores = scores, written(scores.select("token", "seed").join(best, "token").select("token", "seed", F.greatest("seed", "best").alias("score")), "pii-scores", rows=rows)
+        discard(before)
+        good = patterns.filter((F.col("belief") >= confidence) & (F.col("support") >= support)).select("pattern")
+        used.append(patterns)
+    found = edges.join(good, "pattern").join(scores.filter((F.col("seed") < 1) & (F.col("score") >= confidence)).select("token"), "token").select("pattern", "token")
+    found = written(found, "pii-found", rows=rows)
+    discard(edges, scores, *used)
+    return found
 
 
 def find_personal_data(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with spans: array of (start, rank, end, kind, value), sorted by start, then kind.
 
     Offsets are code points, end exclusive. Null and empty texts have no spans, empty tables give
-    empty tables; rows are kept one for one (equal texts get equal spans); a column named spans or
-    text_key is replaced. Context spans never overlap base spans.
+    empty tables; rows are kept one for one (equal texts get equal spans); a column named spans,
+    text_key, more or salt is replaced. Context spans never overlap base spans.
     """
-    docs = without(docs, "spans", "text_key", "more")
+    docs = without(docs, "spans", "text_key", "more", "salt")
     candidates = written(_candidates(docs, text_col), "pii-candidates")
-    found = candidates.filter("kind is null").join(discovered(candidates), ["pattern", "token"])
+    pairs = discovered(candidates)
+    found = candidates.filter("kind is null").join(pairs, ["pattern", "token"])
     more = F.struct("start", F.lit(KINDS.index("context")).alias("rank"), "end", F.lit("context").alias("kind"), F.col("token").alias("value"))
-    more = found.groupBy("text_key").agg(F.collect_set(more).cast(SPAN).alias("more"))
-    out = docs.withColumns({"text_key": F.md5(text_col), "spans": base_spans(F.col(text_col))}).join(more, "text_key", "left")
-    return out.withColumn("spans", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", F.col("more"))))).drop("more", "text_key")
+    more = written(found.groupBy("text_key").agg(F.collect_list(more).cast(SPAN).alias("more")), "pii-more")
+    discard(candidates, pairs)
+    texts, spans = more.agg(F.count("*"), F.coalesce(F.sum(F.size("more")), F.lit(0))).collect()[0]
+    out = docs.withColumns({"text_key": F.md5(text_col), "spans": base_spans(F.col(text_col))})
+    if texts <= MOST_TEXTS and spans <= MOST_SPANS:
+        out = out.join(F.broadcast(more), "text_key", "left")
+    else:
+        more = more.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = out.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")).join(more, ["text_key", "salt"], "left")
+    return out.withColumn("spans", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", F.col("more"))))).select(*[F.col(f"`{c}`") for c in docs.columns], "spans")
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -163,7 +188,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     base = F.filter("spans", lambda s: s["kind"] != "context")
-    return found.select("doc_id", *counts[:4], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), counts[4])
+    return found.select("doc_id", *counts[:4], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), counts[4], F.size("spans").cast("long").alias("n_private"))
 
 
 def brute_force(text: str | None) -> list[tuple[str, int, int]]:

@@ -1,18 +1,26 @@
 """Licence scan: a trained paragraph classifier in DataFrame and SQL operations only.
 
-Paragraphs (lines) that name anything about licensing become sparse word 1- and 2-grams. A
-multinomial logistic regression over licence families and an unknown class, trained by full-batch
-gradient descent from the labelled notices below (one SQL expression, so one small task), predicts
-a family; its temperature is calibrated on notices held out of training. A prediction is confirmed
-by comparing the paragraph with the family's templates; without that it is unknown.
+A paragraph is a line, or a run of lines over which a notice is wrapped. Paragraphs become sparse
+word 1- and 2-grams. A multinomial logistic regression over licence families and an unknown class,
+trained by full-batch gradient descent from the labelled notices below (one SQL expression, so one
+small task), predicts a family; its temperature is calibrated on notices held out of training. A
+prediction is confirmed by comparing the paragraph with the family's templates; without that it is
+unknown.
+
+Which texts are read closely follows from the templates, not from a list of words: a confirmed
+paragraph holds at least half of some template's 2-grams, hence one of any half and one more of
+them. So a text without any of these, chosen to be the rarest, has no notice, and is passed over.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table, without, written
 
@@ -95,8 +103,8 @@ NOTICES = {
         "Her poetic license with the facts amused the public.",
     ],
 }
-#: A paragraph without any of these is no licence notice, whatever else it says: every template has one.
-ANCHOR = r"(?i)licen[cs]|copyright|permi[ts]|redistribut|rights reserved|spdx|public domain|\bcc[ -]?(?:by|0)|waived|proprietary"
+#: Words that say little: 2-grams with fewer of them come first when those are chosen that a text must hold.
+COMMON = ("a", "an", "and", "any", "are", "at", "by", "can", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "you", "with")
 EPOCHS, RATE, DECAY = 120, 0.6, 0.002
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0)
 #: The calibrated probability and the share of a template's 2-grams that a prediction needs.
@@ -106,13 +114,36 @@ LEAST_PROBABILITY, LEAST_SHARE = 0.5, 0.5
 def grams(text: Column) -> Column:
     """Distinct word 1- and 2-grams of a paragraph (letters, digits and dots; A-Z lower-cased)."""
     words = F.filter(F.split(F.regexp_replace(F.lower(text), r"\.(?=\s|$)", " "), r"[^a-z0-9.]+"), lambda w: w != "")
-    return F.array_distinct(F.concat(words, _pairs(words)))
+    return F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, _pairs(w))))[0]  # a variable of a function is computed once
 
 
 def _pairs(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
+def _holds(text: Column, pairs: list[str]) -> Column:
+    return F.arrays_overlap(F.filter(grams(text), lambda g: F.contains(g, F.lit(" "))), F.lit(pairs))
+
+
+def _any_of(words: list[str]) -> str:
+    """A regular expression for texts that hold one of the words, with common beginnings written once."""
+    if "" in words:
+        return ""
+    first = sorted({w[0] for w in words})
+    parts = [re.escape(c) + _any_of([w[1:] for w in words if w[0] == c]) for c in first]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def template_pairs(spark: SparkSession) -> tuple[list[str], list[str]]:
+    """All 2-grams of templates, and those of which a text that holds a notice has at least one: of each template the rarest, as many as cannot all be missing."""
+    rows = _labelled(spark).filter("family != 'unknown'").select(F.filter("grams", lambda g: g.contains(" ")).alias("pairs")).collect()  # NOTICES, bounded
+    need = set()
+    for r in rows:
+        order = sorted(r["pairs"], key=lambda g: (sum(w in COMMON for w in g.split(" ")), -len(g), g))
+        need.update(order[: len(order) - math.ceil(LEAST_SHARE * len(order)) + 1])
+    return sorted({g for r in rows for g in r["pairs"]}), sorted(need)
+
+
 def _labelled(spark: SparkSession) -> DataFrame:
     rows = [{"k": k, "family": f, "held": i == len(texts) - 1, "n": i, "text": t} for k, (f, texts) in enumerate(NOTICES.items()) for i, t in enumerate(texts)]
     kind = "array<struct<k:int,family:string,held:boolean,n:int,text:string>>"
@@ -168,18 +199,40 @@ def classify(paragraphs: DataFrame, model: dict) -> DataFrame:
     return confirmed.filter(F.col("share") >= LEAST_SHARE)
 
 
+def _paragraphs(docs: DataFrame, text_col: str) -> DataFrame:
+    """text_key, line, run and paragraph: of each different text the lines with a template's 2-gram (run null), and runs of two such lines or more, joined."""
+    every, need = template_pairs(docs.sparkSession)
+    words = sorted({max(g.split(" "), key=lambda w: (w not in COMMON, len(w), w)) for g in need})  # one of each pair: a cheap look at every text before the pairs
+    texts = docs.select(F.col(text_col).alias("text")).filter(F.lower("text").rlike(_any_of(words)) & _holds(F.col("text"), need)).select(F.md5("text").alias("text_key"), "text").dropDuplicates(["text_key"])
+    lines = texts.select("text_key", F.split("text", "\n").alias("lines"))
+    word = lambda i, pattern: F.regexp_extract(F.coalesce(F.get("lines", i), F.lit("")), pattern, 0)
+    around = lambda x, i: F.concat_ws(" ", word(i - 1, r"\S+\s*$"), x, word(i + 1, r"^\s*\S+"))  # noqa: E731  a 2-gram may lie across lines
+    each = lines.select("text_key", F.posexplode(F.transform("lines", lambda x, i: F.struct(x.alias("paragraph"), around(x, i).alias("around")))).alias("line", "x"))
+    each = written(each.filter(_holds(F.col("x.around"), every)).select("text_key", "line", F.col("x.paragraph").alias("paragraph")), "license-lines")
+    run = F.col("line") - F.row_number().over(Window.partitionBy("text_key").orderBy("line"))
+    runs = each.withColumn("run", run)
+    joined = runs.groupBy("text_key", "run").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("line", "paragraph"))).alias("rows"))
+    joined = joined.filter("n > 1").select("text_key", "line", F.lit(True).alias("wrapped"), "run", F.array_join(F.transform("rows", lambda x: x["paragraph"]), " ").alias("paragraph"))
+    return runs.select("text_key", "line", F.lit(False).alias("wrapped"), "run", "paragraph").unionByName(joined)
+
+
 def scan_licenses(docs: DataFrame, *, text_col: str = "text", model: dict | None = None) -> DataFrame:
     """docs with licenses: array of (line, family, probability, share), by line (from 0).
 
-    Lines end at \\n. Null, empty and unlicensed texts get an empty array; rows are kept one for one;
-    a column named licenses or text_key is replaced. Distinct lines are classified once.
+    Lines end at \\n. A notice wrapped over several lines stands at its first line, unless one of its
+    lines is confirmed by itself. Null, empty and unlicensed texts get an empty array; rows are kept
+    one for one (repeated rows and equal texts get equal arrays); texts of any length are read whole;
+    an empty table gives an empty one. A column named licenses, text_key or found is replaced.
+    Different texts, and different paragraphs, are classified once.
     """
     spark = docs.sparkSession
     docs = without(docs, "licenses", "text_key", "found")
-    lines = docs.filter(F.col(text_col).rlike(ANCHOR)).select(F.md5(text_col).alias("text_key"), F.posexplode(F.split(text_col, "\n")).alias("line", "paragraph"))
-    lines = written(lines.filter(F.col("paragraph").rlike(ANCHOR)), "license-lines")
-    kinds = classify(lines.select("paragraph").distinct(), model or train(spark))
-    per = lines.join(kinds, "paragraph").groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("line", "family", "probability", "share"))).alias("found"))
+    units = written(_paragraphs(docs, text_col), "license-units")
+    kinds = written(classify(units.select("paragraph").distinct(), model or train(spark)), "license-kinds")
+    known = units.join(kinds, "paragraph")
+    alone = known.filter("NOT wrapped")
+    wrapped = known.filter("wrapped").join(alone.select("text_key", "run").distinct(), ["text_key", "run"], "left_anti")
+    per = alone.unionByName(wrapped.select(*alone.columns)).groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("line", "family", "probability", "share"))).alias("found"))
     out = docs.withColumn("text_key", F.md5(text_col)).join(per, "text_key", "left")
     return out.withColumn("licenses", F.coalesce("found", F.array().cast("array<struct<line:int,family:string,probability:double,share:double>>"))).drop("found", "text_key")
 

@@ -356,10 +356,13 @@ add(
     f"SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN 'TRANSFER' WHEN r <> repeat('FF', 16) AND r = l THEN 'SAME' ELSE 'DIFF' END AS action FROM (SELECT doc_id, {_HEXES} AS r, CASE WHEN doc_id % 8 = 0 THEN repeat('FF', 16) ELSE md5(text) END AS l FROM documents)",
 )
 add("verify_rule", lambda s, d: V.table(s, d, "documents").select("doc_id", P.needs_verify(F.expr(f"unhex({_HEXES})")).alias("verify")), "SELECT doc_id, doc_id % 4 <> 2 AS verify FROM documents")
-_C4, _S4 = "concat('10.', c_custkey % 3, '.', c_custkey % 8 * 30, '.', c_custkey % 250)", "concat('10.', c_nationkey % 3, '.', c_nationkey % 8 * 30, '.', c_nationkey)"
+# Addresses hold keys of any size, as the SQL's numbers do: an IPv4 one is the bytes of a sum, an IPv6 one has the key in its last four groups.
+_S4N = "(167772160L + c_nationkey % 3 * 65536 + c_nationkey % 8 * 7680 + c_nationkey)"
+_C4, _S4 = "concat('10.', c_custkey % 3, '.', c_custkey % 8 * 30, '.', c_custkey % 250)", f"concat({_S4N} div 16777216, '.', {_S4N} div 65536 % 256, '.', {_S4N} div 256 % 256, '.', {_S4N} % 256)"
+_low = lambda c: "concat_ws(':', " + ", ".join(f"substr(lpad(hex({c}), 16, '0'), {i}, 4)" for i in (1, 5, 9, 13)) + ")"
 add(
     "subnets",
-    lambda s, d: V.table(s, d, "customer").selectExpr("c_custkey", f"{_C4} AS c", f"{_S4} AS s", "c_custkey % 35 AS p", "concat('fe', substr('789abcde', c_custkey % 8 + 1, 1), '0::1%eth0') AS v6", "concat('2001:db8:', c_custkey % 3, '::', c_custkey) AS c6", "concat('[2001:DB8:', c_nationkey % 3, '::', c_nationkey, ']') AS s6").select(
+    lambda s, d: V.table(s, d, "customer").selectExpr("c_custkey", f"{_C4} AS c", f"{_S4} AS s", "c_custkey % 35 AS p", "concat('fe', substr('789abcde', c_custkey % 8 + 1, 1), '0::1%eth0') AS v6", f"concat('2001:db8:', c_custkey % 3, '::', {_low('c_custkey')}) AS c6", f"concat('[2001:DB8:', c_nationkey % 3, '::', {_low('c_nationkey')}, ']') AS s6").select(
         "c_custkey", S.same_subnet(F.col("c"), F.col("p"), F.col("s")).alias("same"), S.same_subnet(F.col("c6"), F.when(F.col("p") == 0, 0).otherwise(F.col("p") + 20), F.col("s6")).alias("same6"), S.excluded_address(F.col("v6")).alias("out"), S.family_rank(F.col("v6")).alias("rank"), S.same_subnet(F.col("c"), F.col("p"), F.col("c6")).alias("crossed")),
     """WITH x AS (SELECT c_custkey, c_custkey % 35 AS p, (10::BIGINT << 24) + (c_custkey % 3 << 16) + (c_custkey % 8 * 30 << 8) + c_custkey % 250 AS a, (10::BIGINT << 24) + (c_nationkey % 3 << 16) + (c_nationkey % 8 * 30 << 8) + c_nationkey AS b, c_custkey % 3 AS u, c_nationkey % 3 AS v FROM customer),
     y AS (SELECT *, CASE WHEN p BETWEEN 1 AND 32 THEN p ELSE 24 END AS bits, CASE WHEN p = 0 THEN 64 ELSE p + 20 END AS wide FROM x)

@@ -32,6 +32,17 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_subnets_match_sql_at_large_keys(spark, tmp_path):
+    keys = [0, 9, 255, 256, 9999, 10_000, 10_001, 65_535, 65_536, 899_999, (1 << 32) + 7, (1 << 62) + 5]
+    at = str(tmp_path / "customer.parquet")
+    spark.createDataFrame([(k, n) for k in keys for n in (0, 1, 2, 24, 255, 256, 1499)], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(at)
+    df = catalog.QUERIES["subnets"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW customer AS SELECT * FROM '{at}/*.parquet'")
+    want = c.sql(catalog.SQL["subnets"])
+    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

@@ -49,6 +49,15 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ordered.join(F.broadcast(before), part == before["_p"]).withColumn(name, F.col("_i").bitwiseAND((1 << 33) - 1) + 1 + F.col("_before")).drop("_p", "_i", "_before")
 
 
+def numbered_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Consecutive numbers from 1 in each group, as `numbered` gives them: a large group lies in many partitions, and no task holds it. Rows without a group are left out."""
+    ordered = written(df.filter(F.col(group).isNotNull()).orderBy(group, *order).withColumn("_i", F.monotonically_increasing_id()), "ordered").withColumn("_p", F.shiftright("_i", 33))
+    pieces = ordered.groupBy(group, "_p").agg(F.count("*").alias("n"), F.min("_i").alias("_first"))  # a row for each group in a partition
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("_p")) - F.col("n")
+    shifts = written(pieces.select(group, "_p", (before - F.col("_first") + 1).alias("_shift")), "shifts")  # written, so that the join goes by its size
+    return ordered.join(shifts, [group, "_p"]).withColumn(name, F.col("_i") + F.col("_shift")).drop("_p", "_i", "_shift")
+
+
 def ancestors(paths: DataFrame) -> DataFrame:
     """Every directory above the files of `path`, once."""
     parts = F.split("path", "/")
@@ -190,21 +199,14 @@ def range_lanes(ranges: DataFrame, lanes: DataFrame, group: str, *, stream_limit
 
     A group's ranges go in order to the healthy lane of least (in_flight + bias) / weight below the
     stream limit, ties to the lowest, and each adds one to its lane. lanes: group, lane, healthy,
-    in_flight, weight, bias; a few links, with at most stream_limit free slots each, so the fold that
-    deals them out sees a bounded number of ranges.
+    in_flight, weight (above 0), bias; a lane without a load takes none.
+
+    A lane's load only grows as ranges come, so the lanes are taken in the order of the loads of all
+    their free slots: the nth range of a group takes its nth slot. Both sides are numbered by sorting.
     """
-    up = lanes.filter(F.col("healthy") & (F.col("in_flight") < stream_limit)).groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("lane").cast("long").alias("lane"), F.col("in_flight").cast("long").alias("load"), "bias", "weight"))).alias("_lanes"), F.sum(stream_limit - F.col("in_flight")).alias("_slots")
-    )
-    turn = F.row_number().over(Window.partitionBy(group).orderBy("path", "offset"))
-    first = ranges.withColumn("_n", turn).join(up, group).filter(F.col("_n") <= F.col("_slots"))
-    one = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_n", "path", "offset"))).alias("_r"), F.first("_lanes").alias("_lanes"))
-
-    def step(acc, x):
-        cost = F.transform(acc["load"], lambda v, i: F.when(v < stream_limit, (v + F.get("_lanes", i)["bias"]).cast("double") / F.get("_lanes", i)["weight"]).otherwise(F.lit(float("inf"))))
-        at = F.array_position(cost, F.array_min(cost)).cast("int") - 1
-        return F.struct(F.transform(acc["load"], lambda v, i: F.when(i == at, v + 1).otherwise(v)).alias("load"), F.concat(acc["at"], F.array(at)).alias("at"))
-
-    start = F.struct(F.transform("_lanes", lambda x: x["load"]).alias("load"), F.array().cast("array<int>").alias("at"))
-    each = one.withColumn("_at", F.aggregate("_r", start, step, lambda acc: acc["at"])).select(group, "_lanes", F.explode(F.arrays_zip("_r", "_at")).alias("_x"))
-    return each.select(group, F.col("_x._r.path").alias("path"), F.col("_x._r.offset").alias("offset"), F.get("_lanes", F.col("_x._at"))["lane"].alias("lane"))
+    free = lanes.filter(F.col("healthy") & (F.col("in_flight") < stream_limit)).withColumn("_at", F.explode(F.sequence(F.col("in_flight").cast("long"), long(stream_limit - 1))))
+    loads = free.withColumn("_load", (F.col("_at") + F.col("bias")).cast("double") / F.col("weight")).filter(F.col("_load").isNotNull())
+    slots = numbered_within(loads.select(group, F.col("lane").cast("long").alias("lane"), "in_flight", "bias", "weight", "_at", "_load"), group, ["_load", "lane", "in_flight", "bias", "weight", "_at"], "_n").select(group, "_n", "lane")
+    asked = ranges.select(group, "path", "offset").join(slots.groupBy(group).agg(F.max("_n").alias("_most")), group)
+    first = numbered_within(asked, group, ["path", "offset"], "_n").filter(F.col("_n") <= F.col("_most"))
+    return first.join(slots, [group, "_n"]).select(group, "path", "offset", "lane")

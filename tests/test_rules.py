@@ -119,6 +119,47 @@ def test_ranges_go_to_the_least_loaded_lane(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_many_lanes_take_many_ranges_in_time(spark):
+    import heapq
+    import threading
+
+    r = random.Random(3)
+    lanes = [(7, i, r.random() < 0.9, r.randrange(5), r.choice([0.5, 1.0, 3.0]), r.randrange(2)) for i in range(600)] + [(7, 600, True, 0, None, 0), (7, 601, True, 0, 1.0, None), (None, 602, True, 0, 1.0, 0), (8, 0, False, 0, 1.0, 0)]
+    ranges = [(7, f"f{r.randrange(30)}", k) for k in range(4000)] + [(None, "f", 1), (8, "f", 1), (9, "f", 1)]
+    queue = [((n + b) / w, i, n, w, b) for g, i, ok, n, w, b in lanes if g == 7 and ok and n < 6 and w is not None and b is not None]
+    heapq.heapify(queue)
+    want = []
+    for _, path, at in sorted(x for x in ranges if x[0] == 7):
+        if not queue:
+            break
+        _, i, n, w, b = heapq.heappop(queue)
+        want.append((7, path, at, i))
+        if n + 1 < 6:
+            heapq.heappush(queue, ((n + 1 + b) / w, i, n + 1, w, b))
+    assert 600 < len(want) < 4000
+    limit = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    limit.start()
+    try:
+        got = P.range_lanes(spark.createDataFrame(ranges, "g long, path string, offset long"), spark.createDataFrame(lanes, "g long, lane long, healthy boolean, in_flight long, weight double, bias long"), "g", stream_limit=6).collect()
+    finally:
+        limit.cancel()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_groups_are_numbered_over_partitions(spark):
+    r = random.Random(1)
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for groups in ([1], [1, 2, 3], [None, 1, 5], range(200), []):
+            rows = [(g, r.randrange(1 << 40)) for g in groups for _ in range(r.randrange(1, 900 // len(groups)))]
+            got = P.numbered_within(spark.createDataFrame(rows, "g long, x long").repartition(3), "g", ["x"], "n").collect()
+            want = [(g, x, i + 1) for g in {g for g, _ in rows} - {None} for i, x in enumerate(sorted(x for h, x in rows if h == g))]
+            assert sorted((y["g"], y["x"], y["n"]) for y in got) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+
+
 def test_subnets(spark):
     r = random.Random(6)
     v4 = [str(ipaddress.ip_address(0x0A000000 + r.getrandbits(12))) for _ in range(40)]

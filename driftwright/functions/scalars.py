@@ -200,27 +200,51 @@ def family_rank(ip: Column) -> Column:
     return F.when(F.contains(ip, F.lit(":")), 1).otherwise(0)
 
 
-def _address_hex(ip: Column) -> Column:
-    """8 or 32 hex digits of an IPv4 or IPv6 address; null if malformed."""
-    parts = F.split(ip, r"\.")
-    v4 = F.when(ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & F.forall(parts, lambda p: p.cast("int") <= 255), F.array_join(F.transform(parts, lambda p: F.lpad(F.hex(p.cast("int")), 2, "0")), ""))
+def _let(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _v4_hex(ip: Column) -> Column:
+    parts = F.transform(F.split(ip, r"\."), lambda p: p.cast("int"))
+    digits = _let(parts, lambda a: F.when(F.forall(a, lambda p: p <= 255), F.array_join(F.transform(a, lambda p: F.lpad(F.hex(p), 2, "0")), "")))
+    return F.when(ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), digits)
+
+
+def _v6_hex(ip: Column) -> Column:
     short = F.contains(ip, F.lit("::"))
-    some = lambda t: F.filter(F.split(t, ":"), lambda x: x != "")
-    left, right = some(F.substring_index(ip, "::", 1)), F.when(short, some(F.substring_index(ip, "::", -1))).otherwise(F.array().cast("array<string>"))
-    fill = F.lit(8) - F.size(left) - F.size(right)
-    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(fill, F.lit(0))), right)
     once = F.length(F.replace(ip, F.lit("::"), F.lit(""))) == F.length(ip) - 2
-    ok = F.when(short, (fill >= 1) & once).otherwise(fill == 0) & F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
-    v6 = F.when(ok, F.upper(F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")))
-    return F.when(F.contains(ip, F.lit(":")), v6).otherwise(v4)
+    some = lambda t: F.filter(F.split(t, ":"), lambda x: x != "")
+    halves = F.struct(some(F.substring_index(ip, "::", 1)).alias("left"), F.when(short, some(F.substring_index(ip, "::", -1))).otherwise(F.array().cast("array<string>")).alias("right"))
+
+    def joined(h):
+        fill = F.lit(8) - F.size(h["left"]) - F.size(h["right"])
+        groups = F.concat(h["left"], F.array_repeat(F.lit("0"), F.greatest(fill, F.lit(0))), h["right"])
+        digits = _let(groups, lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9A-Fa-f]{1,4}$")), F.upper(F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))))
+        return F.when(F.when(short, (fill >= 1) & once).otherwise(fill == 0), digits)
+
+    return _let(halves, joined)
+
+
+def _address_hex(ip: Column) -> Column:
+    """8 or 32 hex digits of an IPv4 or IPv6 address; null if malformed."""
+    return _let(ip, lambda a: F.when(F.contains(a, F.lit(":")), _v6_hex(a)).otherwise(_v4_hex(a)))
 
 
 def same_subnet(client: Column, prefix: Column, server: Column) -> Column:
     """Whether two addresses of one family agree in their first bits: `prefix`, or 24 (IPv4) and 64 (IPv6) where that is out of range."""
     bare = lambda ip: F.regexp_replace(F.substring_index(ip, "%", 1), r"[\[\]]", "")
-    a, b = _address_hex(bare(client)), _address_hex(bare(server))
-    v4 = F.length(a) == 8
-    bits = F.when(v4, F.when(prefix.between(1, 32), prefix).otherwise(24)).otherwise(F.when(prefix.between(1, 128), prefix).otherwise(64)).cast("int")
+
+    def agree(x):
+        a, b = x["a"], x["b"]
+        bits = F.when(F.length(a) == 8, F.when(x["p"].between(1, 32), x["p"]).otherwise(24)).otherwise(F.when(x["p"].between(1, 128), x["p"]).otherwise(64)).cast("int")
+        return (F.length(a) == F.length(b)) & _let(bits, lambda n: _agree(a, b, n))
+
+    both = F.struct(_address_hex(bare(client)).alias("a"), _address_hex(bare(server)).alias("b"), prefix.alias("p"))
+    return F.coalesce(_let(both, agree), F.lit(False))
+
+
+def _agree(a: Column, b: Column, bits: Column) -> Column:
     whole = F.floor(bits / 4).cast("int")
     nibble = lambda h: F.floor(F.conv(F.substr(h, whole + 1, F.lit(1)), 16, 10).cast("int") / F.call_function("shiftleft", F.lit(1), F.lit(4) - bits % 4))
-    return F.coalesce((F.length(a) == F.length(b)) & (F.substr(a, F.lit(1), whole) == F.substr(b, F.lit(1), whole)) & ((bits % 4 == 0) | (nibble(a) == nibble(b))), F.lit(False))
+    return (F.substr(a, F.lit(1), whole) == F.substr(b, F.lit(1), whole)) & ((bits % 4 == 0) | (nibble(a) == nibble(b)))
